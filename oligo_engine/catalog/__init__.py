@@ -1,2 +1,9 @@
 """The registered queries: inputs derived from the driver tables, Spark queries and
 their SQL counterparts."""
+
+
+def load():
+    """Import all query modules and return (queries, sql) by name."""
+    from oligo_engine.catalog import registry, sequence_queries  # noqa: F401
+
+    return registry.QUERIES, registry.SQL

@@ -66,3 +66,43 @@ def seed_viability(spark: SparkSession, sf: str) -> DataFrame:
     return seeds.filter(~F.startswith(digest, F.lit("0"))).select(
         "seed", (value * F.lit(100.0) / F.lit(255.0)).alias("viability")
     )
+
+
+def measured(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as measured duplexes; lines of one order share some duplexes.
+
+    ``prediction`` is another column of the table, so that metrics have two inputs.
+    """
+    sense = F.substring(
+        bases(F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), (F.col("l_linenumber") % 3).cast("string"))),
+        1,
+        21,
+    )
+    gene = F.col("l_suppkey") % 13
+    return table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        sense.alias("sense"),
+        F.reverse(F.translate(sense, "AUGC", "UACG")).alias("antisense"),
+        F.col("l_partkey").alias("partkey"),
+        F.col("l_suppkey").alias("suppkey"),
+        F.col("l_linenumber").alias("linenumber"),
+        (F.col("l_quantity") * 2.0).alias("efficacy"),
+        F.floor(F.col("l_extendedprice") / 1000.0).cast("double").alias("prediction"),
+        F.col("l_returnflag").alias("source"),
+        F.when(gene == 0, F.lit("Unknown")).otherwise(F.concat(F.lit("gene"), gene.cast("string"))).alias("target_gene"),
+        F.nullif(F.col("l_discount") * 100.0, F.lit(0.0)).alias("concentration_nM"),
+    )
+
+
+def modified(spark: SparkSession, sf: str) -> DataFrame:
+    """Measured duplexes with three modifications each."""
+    one = F.lit(1)
+    guide = F.overlay("antisense", F.lit("F"), (F.lit(2) + F.col("partkey") % 19).cast("int"), one)
+    return measured(spark, sf).select(
+        "row_id",
+        F.overlay("sense", F.lit("M"), F.lit(1) + F.col("linenumber"), one).alias("sense"),
+        F.overlay(guide, F.lit("S"), (F.lit(21) - F.col("suppkey") % 5).cast("int"), one).alias("antisense"),
+        F.col("sense").alias("parent_sense"),
+        F.col("antisense").alias("parent_antisense"),
+        "efficacy", "prediction", "source", "target_gene", "concentration_nM",
+    )
