@@ -34,6 +34,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out before each of them is expanded a hundred- or thousandfold.
+
+    Few, uneven input splits would otherwise leave the expansion to few tasks; moving
+    the rows first costs little next to what they expand to.  With keys, the
+    partitioning survives the narrow steps after it, so windows on the keys need no
+    shuffle of the expanded rows; without keys rows go round robin, so no key is hot.
+    The number is explicit, or AQE would merge the small partitions into one.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def with_running_total(
     df: DataFrame,
     group_by: list[str],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from oligo_engine.functions.labels import efficacy_label
+from oligo_engine.operators.ordering import spread
 from oligo_engine.operators.penalties import adjusted_efficacy, breakdown, with_adjusted, with_thermo
 from oligo_engine.operators.toxicity import annotate_variants
 from oligo_engine.operators.variants import (
@@ -13,7 +14,10 @@ from oligo_engine.operators.variants import (
     mini_scan,
     parent_as_variant,
 )
-from oligo_engine.plans.scoring import Scorer, normalise, spread
+from oligo_engine.plans.scoring import Scorer, normalise
+
+
+PARENT_KEY = ["parent_id", "sense", "antisense"]
 
 
 def with_baselines(parents: DataFrame, scorer: Scorer) -> DataFrame:
@@ -49,15 +53,16 @@ def scan_modifications(
     """Score every single-modification variant of every parent.
 
     ``rank`` follows the score before penalties, ``adj_rank`` the adjusted one.
-    Parents are partitioned by id before the expansion; both windows reuse that.
-    A parent has at most 1,260 variants.
+    Parents are taken as a set and partitioned by their key before the expansion; all
+    windows reuse that, and none sees more than the 1,260 variants of one parent.
     """
-    base = spread(with_baselines(parents, scorer), "parent_id")
+    base = with_baselines(spread(parents.distinct(), *PARENT_KEY), scorer)
     variants = full_scan(base, symbols) if full or symbols else mini_scan(base)
-    scored = score_variants(variants, scorer, ["parent_id"])
+    key = ["parent_id", "parent_sense", "parent_antisense"]
+    scored = score_variants(variants, scorer, key)
     tie = [F.col("mod_strand"), F.col("mod_position"), F.col("mod_symbol")]
-    by_norm = W.partitionBy("parent_id").orderBy(F.col("norm_score").desc(), *tie)
-    by_adjusted = W.partitionBy("parent_id").orderBy(F.col("efficacy_score").desc(), *tie)
+    by_norm = W.partitionBy(*key).orderBy(F.col("norm_score").desc(), *tie)
+    by_adjusted = W.partitionBy(*key).orderBy(F.col("efficacy_score").desc(), *tie)
     ranked = scored.withColumn("rank", F.row_number().over(by_norm)).withColumn(
         "adj_rank", F.row_number().over(by_adjusted)
     )

@@ -106,15 +106,3 @@ def normalise(raw: Column, mode: str, batch: list[str] | None = None) -> Column:
     if mode == "rescale":
         return rescale_score(raw, F.max(raw).over(W.partitionBy(*(batch or []))))
     raise ValueError(f"unknown mode {mode!r}")
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition small inputs by key before they are expanded a thousandfold.
-
-    The partitioning survives narrow steps, so later windows on the key need no
-    shuffle of the expanded rows.  The count is given, or AQE would merge the small
-    partitions into one.
-    """
-    spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
