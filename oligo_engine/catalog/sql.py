@@ -213,8 +213,8 @@ def penalised(source: str, out: str, score: bool = True) -> str:
             f" AND len(list_filter({h}, lambda j: i <= j + {size - 1} AND j <= i + {n - 1})) = 0" for h, size in others
         )
         return (
-            f"list_filter(range(1, length(c) - {n - 2}), lambda i: substr(c, i, {n}) = '{motif}' "
-            f"AND substr(m, i, {n}) = '{motif}'{free})"
+            f"CASE WHEN NOT contains(m, '{motif}') THEN [] ELSE list_filter(range(1, length(c) - {n - 2}), "
+            f"lambda i: substr(c, i, {n}) = '{motif}' AND substr(m, i, {n}) = '{motif}'{free}) END"
         )
 
     return ",\n".join(

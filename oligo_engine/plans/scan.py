@@ -17,9 +17,6 @@ from oligo_engine.operators.variants import (
 from oligo_engine.plans.scoring import Scorer, normalise
 
 
-PARENT_KEY = ["parent_id", "sense", "antisense"]
-
-
 def with_baselines(parents: DataFrame, scorer: Scorer) -> DataFrame:
     """Add ``parent_score`` (modified model, adjusted), ``naked_baseline`` (naked
     score, adjusted) and the thermo penalty, once per parent."""
@@ -56,7 +53,7 @@ def scan_modifications(
     Parents are taken as a set and partitioned by their key before the expansion; all
     windows reuse that, and none sees more than the 1,260 variants of one parent.
     """
-    base = with_baselines(spread(parents.distinct(), *PARENT_KEY), scorer)
+    base = with_baselines(spread(parents.distinct(), "parent_id", "sense"), scorer)
     variants = full_scan(base, symbols) if full or symbols else mini_scan(base)
     key = ["parent_id", "parent_sense", "parent_antisense"]
     scored = score_variants(variants, scorer, key)
