@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oligo_engine.catalog import inputs as I, sql as S
 from oligo_engine.catalog.registry import query
 from oligo_engine.operators import curation, features, metrics, variants
-from oligo_engine.operators.ordering import spread
+from oligo_engine.operators.ordering import materialise, spread
 from oligo_engine.plans import training
 
 
@@ -268,7 +270,7 @@ def _modified_features_sql() -> str:
             "cleavage_2F": f"{S.count_of(f'substr({x}, 9, 3)', 'F')}::DOUBLE",
             "cleavage_2OMe": f"{S.count_of(f'substr({x}, 9, 3)', 'M')}::DOUBLE",
             "cleavage_LNA": f"{S.count_of(f'substr({x}, 9, 3)', 'L')}::DOUBLE",
-            "gc": f"{S.count_in(y, 'GC')} / 21e0",
+            "gc": f"round({S.count_in(y, 'GC')} / 21e0, 6)",
             "ps_5": f"(left({x}, 1) = 'S')::INTEGER::DOUBLE",
             "ps_3": f"(substr({x}, 21, 1) = 'S')::INTEGER::DOUBLE",
         }
@@ -285,10 +287,8 @@ def _modified_features_sql() -> str:
 def m2(spark: SparkSession, sf: str) -> DataFrame:
     """Non-zero features of every measured row, profiled per feature."""
     rows = features.modified_long(spread(I.modified(spark, sf)), "row_id", "concentration_nM")
-    exact_gc = F.when(F.col("feature").endswith("_gc"), F.round(F.col("value") * 21.0) / 21.0).otherwise(F.col("value"))
     return (
-        rows.withColumn("value", exact_gc)
-        .groupBy("feature")
+        rows.groupBy("feature")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.floor(F.sum("value") * 1e3 + 0.5).alias("total"),
@@ -315,15 +315,53 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("m2_modified_vectors")
+def _vector_totals(featured: DataFrame, names: list[str], group: str) -> DataFrame:
+    """Sum and non-zero count per vector place and group, as named rows.
+
+    Summaries stay sparse until one vector per group is left.
+    """
+    summary = Summarizer.metrics("sum", "numNonZeros").summary(F.col("features"))
+    rows = featured.groupBy(group).agg(summary.alias("s"))
+    labels = F.array(*[F.lit(n) for n in names])
+    cells = F.arrays_zip(
+        labels.alias("feature"),
+        vector_to_array("s.sum").alias("total"),
+        vector_to_array("s.numNonZeros").alias("n"),
+    )
+    return rows.select(group, F.inline(cells)).filter(F.col("n") > 0)
+
+
+@query(
+    "m2_modified_vectors",
+    S.with_(S.MEASURED, S.MODIFIED, _modified_features_sql().replace("SELECT ", "SELECT source, ").replace("(SELECT source, row_id, s AS x", "(SELECT source, row_id, s AS x")
+            .replace("GROUP BY row_id, sym", "GROUP BY source, row_id, sym"))
+    + f"SELECT source, feature, count(*) AS n, floor(sum(value) * 1e3 + 0.5e0)::BIGINT AS total FROM long WHERE value <> 0 GROUP BY 1, 2",
+)
 def m2_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Sparse vectors of every measured row: size, stored entries and sum per source."""
-    from pyspark.ml.functions import vector_to_array
+    """Every place of the 1,467-wide vectors against the named features."""
+    featured = training.training_features(_training_rows(spark, sf))
+    totals = _vector_totals(featured, features.modified_vocabulary(), "source")
+    return totals.select(
+        "source", "feature", F.col("n").cast("bigint").alias("n"), F.floor(F.col("total") * 1e3 + 0.5).alias("total")
+    )
+
 
-    vectors = features.modified_features(I.modified(spark, sf), "features", "concentration_nM")
-    total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda s, x: s + x)
-    return vectors.select("source", F.size(vector_to_array("features")).alias("size"), total.alias("total")).groupBy("source", "size").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("total"), 3).alias("total")
+@query(
+    "m1_naked_vectors",
+    S.with_(S.PARENTS,
+            "o AS (SELECT concat('ss_', i::VARCHAR, '_', substr(sense, i::INTEGER, 1)) AS feature, parent_id, 1e0 AS value FROM (SELECT parent_id, sense, unnest(range(1, 22)) AS i FROM parents))",
+            "t AS (SELECT feature, parent_id, count(*) / 19e0 AS value FROM (SELECT parent_id, unnest(list_concat(list_transform(range(1, 20), lambda i: concat('ss_', substr(sense, i, 3))), "
+            "list_transform(range(1, 20), lambda i: concat('as_', substr(antisense, i, 3))))) AS feature FROM parents) GROUP BY 1, 2)",
+            f"g AS (SELECT 'ss_gc' AS feature, parent_id, {S.count_in('sense', 'GC')} / 21e0 AS value FROM parents UNION ALL SELECT 'as_gc', parent_id, {S.count_in('antisense', 'GC')} / 21e0 FROM parents)",
+            "long AS (SELECT * FROM o UNION ALL SELECT * FROM t UNION ALL SELECT * FROM g)")
+    + "SELECT parent_id % 4 AS part, feature, count(*) AS n, floor(sum(value) * 1e3 + 0.5e0)::BIGINT AS total FROM long WHERE value <> 0 GROUP BY 1, 2",
+)
+def m1_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every place of the 214-wide vectors against the named features."""
+    rows = spread(I.parents(spark, sf)).withColumn("part", F.col("parent_id") % 4)
+    totals = _vector_totals(features.naked_features(rows), features.naked_names(), "part")
+    return totals.select(
+        "part", "feature", F.col("n").cast("bigint").alias("n"), F.floor(F.col("total") * 1e3 + 0.5).alias("total")
     )
 
 
@@ -358,11 +396,8 @@ def m11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a8_feature_importance")
 def a8(spark: SparkSession, sf: str) -> DataFrame:
-    names = features.positional_vocabulary() + [
-        f"{t}_{c}" for t in ("ss", "as") for c in [f"n_{x}" for x in features.FLAG_CATEGORIES] + features.STATISTICS
-    ] + ["log_dose"]
-    model = training.train(training.training_features(_training_rows(spark, sf)), **FAST)
-    return training.importances(model, names, spark)
+    featured = materialise(training.training_features(_training_rows(spark, sf)))
+    return training.importances(training.train(featured, **FAST), features.modified_vocabulary(), spark)
 
 
 @query("m7_calibration")
@@ -381,7 +416,7 @@ def m3(spark: SparkSession, sf: str) -> DataFrame:
     from oligo_engine.catalog.sequence_queries import scratch
 
     rows = curation.dedup_first(I.measured(spark, sf).select("sense", "antisense", "efficacy", "source", "row_id"), ["sense", "antisense"], ["row_id"])
-    featured = features.with_source_onehot(features.naked_features(rows), ["A", "N", "R"])
+    featured = materialise(features.with_source_onehot(features.naked_features(rows), ["A", "N", "R"]))
     path = scratch(spark, "model")
     training.save_model(training.train(featured, **FAST), path)
     model = training.load_model(path)

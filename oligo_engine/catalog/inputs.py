@@ -80,7 +80,7 @@ def measured(spark: SparkSession, sf: str) -> DataFrame:
     )
     gene = F.col("l_suppkey") % 13
     return table(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("row_id"),
         sense.alias("sense"),
         F.reverse(F.translate(sense, "AUGC", "UACG")).alias("antisense"),
         F.col("l_partkey").alias("partkey"),

@@ -272,7 +272,7 @@ def micro(x: str) -> str:
 MEASURED = (
     "measured AS (SELECT row_id, sense, " + revcomp("sense") + " AS antisense, partkey, suppkey, linenumber, "
     "efficacy, prediction, source, target_gene, concentration_nM FROM (SELECT "
-    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, substr("
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INTEGER) AS row_id, substr("
     + bases("concat(l_orderkey::VARCHAR, '-', (l_linenumber % 3)::VARCHAR)")
     + ", 1, 21) AS sense, l_partkey AS partkey, l_suppkey AS suppkey, l_linenumber AS linenumber, "
     "l_quantity * 2e0 AS efficacy, floor(l_extendedprice / 1e3) AS prediction, l_returnflag AS source, "
