@@ -60,7 +60,7 @@ def first_sequence(text: Column) -> Column:
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     """First sequence of every file under ``path`` (one file per transcript)."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("transcript_id", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("transcript_id", F.input_file_name())
     return whole.select("transcript_id", first_sequence(F.col("value")).alias("sequence"))
 
 
