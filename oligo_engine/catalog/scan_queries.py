@@ -212,7 +212,7 @@ def q1_dicer(spark: SparkSession, sf: str) -> DataFrame:
     + "SELECT transcript_id, sum(rank * (position + 1))::BIGINT AS checksum, max(rank)::INTEGER AS last FROM ranked GROUP BY 1",
 )
 def w1(spark: SparkSession, sf: str) -> DataFrame:
-    scored = SCORER.naked(tile(spread(I.transcripts(spark, sf))), "score").select("transcript_id", "position", "score")
+    scored = SCORER.naked(tile(I.transcripts(spark, sf)), "score").select("transcript_id", "position", "score")
     ranked = rank_all(scored, ["transcript_id"], [F.col("score").desc(), F.col("position").desc()])
     return ranked.groupBy("transcript_id").agg(
         F.sum(F.col("rank").cast("bigint") * (F.col("position") + 1)).alias("checksum"), F.max("rank").alias("last")
@@ -240,7 +240,7 @@ def _scored(grid: tuple, key: str = "parent_id") -> str:
             S.penalised("v", "pen"),
             f"norm AS (SELECT *, {S.rescale('raw', key)} AS norm_score FROM pen)",
             f"adj AS (SELECT *, {S.adjusted('norm_score')} AS efficacy_score FROM norm)",
-            "scored AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY norm_score DESC, " + _TIE + ") AS rank, "
+            "scored AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY norm_score DESC, raw DESC, " + _TIE + ") AS rank, "
             "row_number() OVER (PARTITION BY parent_id ORDER BY efficacy_score DESC, " + _TIE + ") AS adj_rank FROM adj)",
         ]
     )

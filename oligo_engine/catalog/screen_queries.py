@@ -11,14 +11,13 @@ from oligo_engine.catalog.scan_queries import BEAM_SQL, SCORER, _base
 from oligo_engine.catalog.sequence_queries import DESIGN_CTES, _designs
 from oligo_engine.functions.labels import efficacy_label
 from oligo_engine.operators import curation, offtarget, toxicity, variants
-from oligo_engine.operators.ordering import spread
 from oligo_engine.operators.tiling import tile
 from oligo_engine.plans import beam, screening
 from oligo_engine.plans.scan import score_designs
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return tile(spread(I.transcripts(spark, sf)))
+    return tile(I.transcripts(spark, sf))
 
 
 # --- seed viability -----------------------------------------------------------

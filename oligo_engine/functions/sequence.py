@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -13,6 +14,15 @@ from oligo_engine.constants import (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    Inside a lambda over array elements an outer expression is evaluated anew for
+    every element; bound this way it is not.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def count_of(s: Column, char: str) -> Column:
     """Occurrences of one character."""
     return F.length(s) - F.length(F.replace(s, F.lit(char), F.lit("")))
@@ -55,14 +65,18 @@ def has_palindrome(s: Column, stem: int = 4) -> Column:
     The reverse complement of the whole strand is taken once; the stem starting at
     ``i`` has its complement at ``length - i - stem + 2`` there.
     """
-    size = F.length(s)
-    rc = reverse_complement(s)
-    starts = F.sequence(F.lit(1), size - (2 * stem - 1))
-    hit = F.exists(
-        starts,
-        lambda i: F.position(F.substr(rc, size - i - (stem - 2), F.lit(stem)), F.substr(s, i + stem)) > 0,
-    )
-    return F.when(size < 2 * stem, F.lit(False)).otherwise(hit)
+    def search(x: Column) -> Column:
+        size = F.length(x.s)
+        return F.exists(
+            F.sequence(F.lit(1), size - (2 * stem - 1)),
+            lambda i: F.position(
+                F.substr(x.rc, size - i - (stem - 2), F.lit(stem)), F.substr(x.s, i + stem)
+            )
+            > 0,
+        )
+
+    both = F.struct(s.alias("s"), reverse_complement(s).alias("rc"))
+    return F.when(F.length(s) < 2 * stem, F.lit(False)).otherwise(let(both, search))
 
 
 def has_homopolymer(s: Column) -> Column:

@@ -163,10 +163,12 @@ def risc_rules() -> list[Rule]:
         _counted(seed_mods, 2, K.REASON_SEED_MODS, "{n}"),
         _flag(_char(guide, 1) == "L", 8, K.REASON_LNA_FIRST),
     ]
+    modified = guide != parent  # half of a scan leaves the guide alone
     for first, last, symbol, points, reason in K.GUIDE_POSITION_RULES:
+        hits = count_of(F.substring(guide, first, last - first + 1), symbol)
         rules.append(
             _placed(
-                count_of(F.substring(guide, first, last - first + 1), symbol),
+                F.when(modified, hits).otherwise(F.lit(0)),
                 _holds(guide, symbol),
                 first,
                 F.lit(last),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from oligo_engine.constants import STRAND_LENGTH
 from oligo_engine.functions.sequence import reverse_complement
+from oligo_engine.operators.ordering import spread
 
 # Windows cut from one piece of a sequence.  Cutting a window out of a string walks
 # to its start, so pieces keep the cost linear in the length of a sequence.
@@ -60,9 +61,8 @@ def windows(df: DataFrame, sequence: str, k: int, name: str, long_record_nt: int
 
 def tile(transcripts: DataFrame, long_record_nt: int | None = None) -> DataFrame:
     """All 21-mer candidates: length - 20 rows per transcript, 0-based position."""
-    return windows(
-        transcripts.select("transcript_id", "sequence"), "sequence", STRAND_LENGTH, "sense", long_record_nt
-    ).withColumn("antisense", reverse_complement(F.col("sense")))
+    dealt = spread(transcripts.select("transcript_id", "sequence"))
+    return windows(dealt, "sequence", STRAND_LENGTH, "sense", long_record_nt).withColumn("antisense", reverse_complement(F.col("sense")))
 
 
 def dicer_product(substrates: DataFrame) -> DataFrame:
@@ -74,8 +74,3 @@ def dicer_product(substrates: DataFrame) -> DataFrame:
         sense.alias("sense"),
         reverse_complement(sense).alias("antisense"),
     )
-
-
-def kmer_code(kmer: Column) -> Column:
-    """Two bits per base as one bigint (k up to 31): halves the shuffled bytes."""
-    return F.conv(F.translate(kmer, "ACGU", "0123"), 4, 10).cast("bigint")

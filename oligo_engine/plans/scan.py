@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from oligo_engine.functions.labels import efficacy_label
+from oligo_engine.functions.labels import efficacy_label, rescale_score
 from oligo_engine.operators.ordering import spread
-from oligo_engine.operators.penalties import adjusted_efficacy, breakdown, with_adjusted, with_thermo
-from oligo_engine.operators.toxicity import annotate_variants
+from oligo_engine.operators.penalties import (
+    adjusted_efficacy,
+    breakdown,
+    penalty_sum,
+    with_adjusted,
+    with_penalties,
+    with_thermo,
+)
+from oligo_engine.operators.toxicity import annotate_variants, with_rescue, with_viability
 from oligo_engine.operators.variants import (
     build_designs,
     full_scan,
@@ -31,10 +38,15 @@ def with_baselines(parents: DataFrame, scorer: Scorer) -> DataFrame:
 def score_variants(
     variants: DataFrame, scorer: Scorer, batch: list[str], name: str = "efficacy_score"
 ) -> DataFrame:
-    """Raw score, rescaled score (``norm_score``) per batch, penalties, adjusted score."""
-    raw = scorer.modified(variants, "raw_score")
-    return with_adjusted(
-        raw.withColumn("norm_score", normalise(F.col("raw_score"), "rescale", batch)), "norm_score", name
+    """Raw score, penalties, rescaled score (``norm_score``) per batch, adjusted score.
+
+    Penalties come before the window: what is sorted then carries numbers, and the
+    strands only where the caller wants them in the result.
+    """
+    raw = with_penalties(scorer.modified(variants, "raw_score")).withColumn("penalty_sum", penalty_sum())
+    norm = normalise(F.col("raw_score"), "rescale", batch)
+    return raw.withColumn("norm_score", norm).withColumn(
+        name, adjusted_efficacy(F.col("norm_score"), F.col("penalty_sum"))
     )
 
 
@@ -49,19 +61,27 @@ def scan_modifications(
 ) -> DataFrame:
     """Score every single-modification variant of every parent.
 
-    ``rank`` follows the score before penalties, ``adj_rank`` the adjusted one.
-    Parents are taken as a set and partitioned by their key before the expansion; all
-    windows reuse that, and none sees more than the 1,260 variants of one parent.
+    ``rank`` follows the score before penalties (ties: strand, position, symbol),
+    ``adj_rank`` the adjusted one.  Parents are taken as a set and partitioned by their
+    key before the expansion; all windows reuse that, and none sees more than the
+    1,260 variants of one parent.  What depends on the parent alone - baselines, thermo
+    penalty, seed viability - is computed before the expansion.
     """
     base = with_baselines(spread(parents.distinct(), "parent_id", "sense"), scorer)
+    base = with_viability(base, seeds, "antisense")
     variants = full_scan(base, symbols) if full or symbols else mini_scan(base)
+    scored = with_penalties(scorer.modified(variants, "raw_score")).withColumn("penalty_sum", penalty_sum())
     key = ["parent_id", "parent_sense", "parent_antisense"]
-    scored = score_variants(variants, scorer, key)
     tie = [F.col("mod_strand"), F.col("mod_position"), F.col("mod_symbol")]
-    by_norm = W.partitionBy(*key).orderBy(F.col("norm_score").desc(), *tie)
+    # rescaling keeps the order of raw scores, so rank and batch maximum share a sort
+    by_raw = W.partitionBy(*key).orderBy(F.col("raw_score").desc(), *tie)
     by_adjusted = W.partitionBy(*key).orderBy(F.col("efficacy_score").desc(), *tie)
-    ranked = scored.withColumn("rank", F.row_number().over(by_norm)).withColumn(
-        "adj_rank", F.row_number().over(by_adjusted)
+    ranked = (
+        scored.withColumns({"rank": F.row_number().over(by_raw), "_top": F.first("raw_score").over(by_raw)})
+        .withColumn("norm_score", rescale_score(F.col("raw_score"), F.col("_top")))
+        .withColumn("efficacy_score", adjusted_efficacy(F.col("norm_score"), F.col("penalty_sum")))
+        .withColumn("adj_rank", F.row_number().over(by_adjusted))
+        .drop("_top")
     )
     if top_n:
         ranked = ranked.filter(F.col("rank") <= top_n)
@@ -73,7 +93,7 @@ def scan_modifications(
     )
     if details:
         labelled = labelled.withColumn("biophysics", breakdown())
-    return annotate_variants(labelled, seeds)
+    return with_rescue(labelled)
 
 
 def score_designs(designs: DataFrame, scorer: Scorer, seeds: DataFrame, details: bool = True) -> DataFrame:

@@ -81,13 +81,6 @@ def test_dicer_length_limits(spark):
     assert rows[27]["sense"] == ("AUGCU" * 7)[6:27] and rows[27]["position"] == 0
 
 
-def test_kmer_codes_are_distinct(spark):
-    df = spark.createDataFrame([(s,) for s in {x for x in strands(500, 3, [15])}], "s string")
-    codes = df.select(tiling.kmer_code(F.col("s")).alias("c"))
-    assert codes.distinct().count() == df.count()
-    assert codes.filter((F.col("c") < 0) | (F.col("c") >= 4**15)).count() == 0
-
-
 def test_strict_cleaning(spark):
     df = spark.createDataFrame(
         [("a", "ATGCATGCATGCATGCATGCA"), ("b", "AUGCAU"), ("c", "AUGCAUGCAUGCAUGCAUGCAX"), ("d", "  "), ("e", None)],
