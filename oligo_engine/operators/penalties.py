@@ -112,12 +112,21 @@ def motif_hits(exposed: Column) -> list[Column]:
     overlapping GUUGU is GU(UGU)+, one of GUGU is GU repeated.
     """
     longest, middle, shortest = K.PENALTY_MOTIFS
-    after_longest = F.regexp_replace(exposed, "GU(?:UGU)+", COVERED)
-    after_middle = F.regexp_replace(after_longest, "(?:GU){2,}", COVERED)
-    possible = F.contains(exposed, F.lit(shortest))  # the others contain it
+
+    def hidden(text: Column, motif: str, chain: str) -> Column:
+        return F.when(F.contains(text, F.lit(motif)), F.regexp_replace(text, chain, COVERED)).otherwise(text)
+
+    def hits(text: Column, motif: str) -> Column:
+        return F.when(F.contains(text, F.lit(motif)), overlapping_count(text, motif)).otherwise(F.lit(0))
+
+    after_longest = hidden(exposed, longest, "GU(?:UGU)+")
+    after_middle = hidden(after_longest, middle, "(?:GU){2,}")
+    # two overlapping UGU would hold a GUGU, so those left stand apart
+    left = F.length(after_middle) - F.length(F.replace(after_middle, F.lit(shortest), F.lit("")))
     return [
-        F.when(possible, overlapping_count(text, motif)).otherwise(F.lit(0))
-        for motif, text in ((longest, exposed), (middle, after_longest), (shortest, after_middle))
+        hits(exposed, longest),
+        hits(after_longest, middle),
+        (left / len(shortest)).cast("int"),
     ]
 
 
@@ -176,12 +185,14 @@ def risc_rules() -> list[Rule]:
                 reason,
             )
         )
-    pyrimidines = count_in(parent, "UC")
-    share = count_of(exposed, FLUORO_PYRIMIDINE) / F.nullif(pyrimidines, F.lit(0))
+    fluoro = count_of(exposed, FLUORO_PYRIMIDINE)
+    any_pyrimidine = F.contains(parent, F.lit("U")) | F.contains(parent, F.lit("C"))
+    share = F.when(any_pyrimidine, F.when(fluoro == 0, F.lit(0.0)).otherwise(fluoro / count_in(parent, "UC")))
+    exotic = F.when(modified, count_in(guide, K.EXOTIC_SYMBOLS)).otherwise(F.lit(0))
     return rules + [
         _flag(share < 0.2, 6, K.REASON_LOW_F),
         _flag((share >= 0.2) & (share < 0.4), 3, K.REASON_SUB_F),
-        _counted(count_in(guide, K.EXOTIC_SYMBOLS), 1, K.REASON_EXOTIC, "{n}"),
+        _counted(exotic, 1, K.REASON_EXOTIC, "{n}"),
         _flag(F.contains(guide, F.lit("B")), 1, K.REASON_BENZYL),
         _flag(F.contains(guide, F.lit("J")), 1, K.REASON_INOSINE),
     ]
