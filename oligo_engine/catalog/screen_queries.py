@@ -105,6 +105,17 @@ for _k in (11, 15):
     )(_critical(_k))
 
 
+@query(
+    "j2_few_candidates",
+    S.with_(S.TRANSCRIPTS, S.TRANSCRIPTOME, S.PARENTS, _index_sql(11), _hits_sql(11, "parents")) + "SELECT antisense FROM hits",
+)
+def j2_few(spark: SparkSession, sf: str) -> DataFrame:
+    """Search for the k-mers of few candidates, without an index of the transcriptome."""
+    guides = I.parents(spark, sf)
+    found = offtarget.matching_kmers(I.transcriptome(spark, sf), offtarget.target_kmers(guides, 11), 11)
+    return offtarget.critical_guides(guides, found, 11)
+
+
 @query("j3_seed_site_counts", S.with_(S.TRANSCRIPTS, S.TRANSCRIPTOME, _SITES) + "SELECT site, seed_occurrences FROM counts")
 def j3(spark: SparkSession, sf: str) -> DataFrame:
     return offtarget.seed_site_counts(I.transcriptome(spark, sf))

@@ -58,7 +58,7 @@ def count_of(s: str, char: str) -> str:
 
 
 def count_in(s: str, chars: str) -> str:
-    return f"len(list_filter(range(1, length({s}) + 1), lambda z: contains('{chars}', substr({s}, z, 1))))"
+    return f"(length({s}) - length(translate({s}, '{chars}', '')))"
 
 
 def gc_percent(s: str) -> str:
@@ -144,7 +144,7 @@ def thermo(ps: str, pa: str) -> str:
 
 def nuclease() -> str:
     ps_count = count_of("m", "S")
-    density = f"(list_sum(list_transform(range(1, 43), lambda i: CASE WHEN contains('FMLEBD', substr(m, i, 1)) THEN 1 ELSE 0 END)) / 42e0)"
+    density = f"({count_in('m', 'FMLEBD')} / 42e0)"
     guide = "(" + " + ".join(f"(substr(a, {p}, 1) = 'S')::INTEGER" for p in (1, 2, 21, 22)) + ")"
     sense = "((substr(s, 1, 1) = 'S')::INTEGER + (substr(s, 2, 1) = 'S')::INTEGER)"
     return (
@@ -173,7 +173,7 @@ def risc() -> str:
         _positions(2, "8", seed, "2e0"),
     ]
     for first, last, symbol, weight, _ in K.GUIDE_POSITION_RULES:
-        parts.append(_positions(first, str(last), f"substr(a, i, 1) = '{symbol}'", f"{weight}e0"))
+        parts.append(f"{weight}e0 * {count_of(f'substr(a, {first}, {last - first + 1})', symbol)}")
     pyrimidines = count_in("pa", "UC")
     fluoro = _positions(1, "length(a)", "substr(a, i, 1) = 'F' AND contains('UC', substr(pa, i, 1))", "1e0")
     share = f"({fluoro} / {pyrimidines})"
