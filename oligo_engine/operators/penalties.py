@@ -7,6 +7,7 @@ antisense, open_sense, open_antisense`` (see ``variants``) and the parent strand
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,7 +31,7 @@ DOMAINS = ["nuclease", "immuno", "risc", "thermo", "serum"]
 @dataclass
 class Rule:
     points: Column  # 0 where the rule does not apply
-    reasons: Column  # array of (reason, points)
+    reasons: Callable[[], Column]  # array of (reason, points); built only for breakdowns
 
 
 def _char(strand: str | Column, position: int) -> Column:
@@ -45,6 +46,11 @@ def _entry(reason: Column, points: Column) -> Column:
     return F.struct(reason.alias("reason"), points.cast("double").alias("points"))
 
 
+def _listed(condition: Column, entries: Callable[[], Column]) -> Callable[[], Column]:
+    nothing = "array<struct<reason:string,points:double>>"
+    return lambda: F.when(condition, entries()).otherwise(F.array().cast(nothing))
+
+
 def _flag(condition: Column, points: float, reason: str | Column) -> Rule:
     """Fixed points under one condition."""
     text = F.lit(reason) if isinstance(reason, str) else reason
@@ -52,33 +58,30 @@ def _flag(condition: Column, points: float, reason: str | Column) -> Rule:
     value = F.lit(float(points))
     return Rule(
         F.when(hit, value).otherwise(F.lit(0.0)),
-        F.when(hit, F.array(_entry(text, value))).otherwise(F.array().cast("array<struct<reason:string,points:double>>")),
+        _listed(hit, lambda: F.array(_entry(text, value))),
     )
 
 
 def _counted(count: Column, points: float, reason: str, slot: str) -> Rule:
     """Points per hit under one reason that states the count."""
     value = count * F.lit(float(points))
-    text = F.replace(F.lit(reason), F.lit(slot), count.cast("string"))
-    return Rule(
-        value,
-        F.when(count > 0, F.array(_entry(text, value))).otherwise(
-            F.array().cast("array<struct<reason:string,points:double>>")
-        ),
-    )
+
+    def entries() -> Column:
+        return F.array(_entry(F.replace(F.lit(reason), F.lit(slot), count.cast("string")), value))
+
+    return Rule(value, _listed(count > 0, entries))
 
 
 def _placed(count: Column, hit_at, first: int, last: Column, points: float, reason: str) -> Rule:
     """Points per hit with one reason per position; ``count`` is the cheap total."""
-    places = F.filter(F.sequence(F.lit(first), last), hit_at)
-    entries = F.transform(
-        places,
-        lambda p: _entry(F.replace(F.lit(reason), F.lit("{p}"), p.cast("string")), F.lit(float(points))),
-    )
-    return Rule(
-        count * F.lit(float(points)),
-        F.when(count > 0, entries).otherwise(F.array().cast("array<struct<reason:string,points:double>>")),
-    )
+
+    def entries() -> Column:
+        return F.transform(
+            F.filter(F.sequence(F.lit(first), last), hit_at),
+            lambda p: _entry(F.replace(F.lit(reason), F.lit("{p}"), p.cast("string")), F.lit(float(points))),
+        )
+
+    return Rule(count * F.lit(float(points)), _listed(count > 0, entries))
 
 
 def _both() -> Column:
@@ -139,23 +142,17 @@ def immuno_rules() -> list[Rule]:
             count_of(part, "U"), lambda p: F.substr(strand, p, F.lit(1)) == "U", first, last, points, reason
         )
 
-    motifs = []
-    for motif, hits in zip(K.PENALTY_MOTIFS, motif_hits(F.concat(open_sense, open_guide))):
+    def motif(name: str, hits: Column) -> Rule:
         value = hits * F.lit(3.0)
-        text = F.lit(K.REASON_MOTIF.replace("{m}", motif))
-        motifs.append(
-            Rule(
-                value,
-                F.when(hits > 0, F.array(_entry(text, value))).otherwise(
-                    F.array().cast("array<struct<reason:string,points:double>>")
-                ),
-            )
-        )
+        text = F.lit(K.REASON_MOTIF.replace("{m}", name))
+        return Rule(value, _listed(hits > 0, lambda: F.array(_entry(text, value))))
+
+    found = motif_hits(F.concat(open_sense, open_guide))
     return [
         uridine(open_guide, 2, F.lit(8), 2, K.REASON_U_SEED),
         uridine(open_guide, 9, F.greatest(F.length(open_guide), F.lit(9)), 0.5, K.REASON_U_TAIL),
         uridine(open_sense, 1, F.greatest(F.length(open_sense), F.lit(1)), 1, K.REASON_U_SENSE),
-        *motifs,
+        *[motif(name, hits) for name, hits in zip(K.PENALTY_MOTIFS, found)],
         _flag(count_of(_both(), "M") > 24, 4, K.REASON_OVER_METHYLATED),
     ]
 
@@ -252,7 +249,7 @@ def penalty_total(domain: str) -> Column:
 def penalty_details(domain: str) -> Column:
     """Map of reason to points for the rules that apply."""
     rules = _DOMAIN_RULES[domain][0]
-    return F.map_from_entries(F.concat(*[r.reasons for r in rules()]))
+    return F.map_from_entries(F.concat(*[r.reasons() for r in rules()]))
 
 
 def with_thermo(parents: DataFrame) -> DataFrame:
