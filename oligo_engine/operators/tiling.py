@@ -29,8 +29,7 @@ def pieces(df: DataFrame, sequence: str, k: int, long_record_nt: int | None = No
             F.regexp_extract_all(F.col(sequence), F.lit(cut), F.lit(1))
         )
         return (
-            part.filter(size >= k)
-            .select(*[c for c in part.columns if c != sequence], F.posexplode(listed).alias("_no", "_piece"))
+            part.select(*[c for c in part.columns if c != sequence], F.posexplode(listed).alias("_no", "_piece"))
             .withColumn("_start", F.col("_no") * PIECE)
             .drop("_no")
             .filter(F.length("_piece") >= k)
