@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oligo_engine.catalog import inputs as I, sql as S
 from oligo_engine.catalog.registry import query
-from oligo_engine.catalog.sequence_queries import DESIGN_CTES, _designs
+from oligo_engine.catalog.sequence_queries import DESIGN_CTES, _designs, scratch
 from oligo_engine.operators import metrics, penalties, variants
 from oligo_engine.operators.ordering import rank_all, spread, top_per_group
 from oligo_engine.operators.tiling import tile
 from oligo_engine.plans import beam, panels, ranking
 from oligo_engine.plans.scan import scan_modifications, score_designs
 from oligo_engine.plans.scoring import LinearScorer
+from oligo_engine.sources.writers import write_results
 
 SCORER = LinearScorer()
 
@@ -315,6 +316,26 @@ def q3(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "s8_nested_results_json",
+    S.with_(S.PARENTS, S.esc("parents", "e"), S.penalised("e", "pen"))
+    + f"SELECT parent_id, round({S.adjusted('raw')}, 2) AS efficacy_score, nuclease, immuno, risc, thermo, serum FROM pen",
+)
+def s8(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored clinical patterns written as nested JSON rows and read back."""
+    path = scratch(spark, "json")
+    designs = SCORER.modified(variants.clinical_pattern(I.parents(spark, sf)), "raw")
+    scored = penalties.with_adjusted(designs, "raw").select(
+        "parent_id", "efficacy_score", penalties.breakdown().alias("biophysics")
+    )
+    write_results(scored, path, ["efficacy_score"])
+    totals = "struct<" + ",".join(f"{d}:struct<total:double,details:map<string,double>>" for d in penalties.DOMAINS) + ">"
+    rows = spark.read.schema(f"parent_id bigint, efficacy_score double, biophysics {totals}").json(path)
+    return rows.select(
+        "parent_id", "efficacy_score", *[F.col(f"biophysics.{d}.total").alias(d) for d in penalties.DOMAINS]
+    )
+
+
 @query(
     "w4_round_robin",
     S.with_("p0 AS (SELECT 1)", S.PARENTS, _scored(S.MINI),

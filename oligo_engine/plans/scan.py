@@ -67,7 +67,8 @@ def scan_modifications(
     1,260 variants of one parent.  What depends on the parent alone - baselines, thermo
     penalty, seed viability - is computed before the expansion.
     """
-    base = with_baselines(spread(parents.distinct(), "parent_id", "sense"), scorer)
+    parents = parents.select("parent_id", "sense", "antisense").distinct()
+    base = with_baselines(spread(parents, "parent_id", "sense"), scorer)
     base = with_viability(base, seeds, "antisense")
     variants = full_scan(base, symbols) if full or symbols else mini_scan(base)
     scored = with_penalties(scorer.modified(variants, "raw_score")).withColumn("penalty_sum", penalty_sum())
