@@ -365,6 +365,30 @@ def m1_vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "m3_source_one_hot",
+    S.with_(S.MEASURED) + "SELECT source, concat('source_', source) AS feature, count(*) AS n, count(*) * 1000 AS total FROM measured GROUP BY 1",
+)
+def m3_onehot(spark: SparkSession, sf: str) -> DataFrame:
+    """Source places appended to the unmodified-duplex vectors."""
+    sources = ["A", "N", "R"]
+    rows = spread(I.measured(spark, sf).select("sense", "antisense", "source"))
+    featured = features.with_source_onehot(features.naked_features(rows), sources)
+    names = features.naked_names() + [f"source_{x}" for x in sources]
+    totals = _vector_totals(featured, names, "source").filter(F.startswith("feature", F.lit("source_")))
+    return totals.select(
+        "source", "feature", F.col("n").cast("bigint").alias("n"), F.floor(F.col("total") * 1e3 + 0.5).alias("total")
+    )
+
+
+@query(
+    "m15_feature_checks",
+    S.with_(S.MEASURED, S.MODIFIED) + "SELECT count(*) AS rows, count(*) FILTER (isnan(ln(1e0 + coalesce(concentration_nM, 10e0)))) AS bad_rows FROM modified",
+)
+def m15_features(spark: SparkSession, sf: str) -> DataFrame:
+    return training.feature_checks(training.training_features(_training_rows(spark, sf)))
+
+
 # --- models (no SQL counterpart) ----------------------------------------------
 
 FAST = dict(max_iter=3, max_depth=4, stepSize=0.3)
