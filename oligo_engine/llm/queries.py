@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oligo_engine.llm import decontamination, minhash, mixing, token_counts
+from oligo_engine.llm import chunk_dedup, decontamination, minhash, mixing, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.dedup_suffixes(table(spark, sf, "documents"), length=400).drop("removed")
+
+
 @query("op2_benchmark_decontamination")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"), window=10)
@@ -39,6 +44,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    cut = chunk_dedup.dedup_substrings(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
