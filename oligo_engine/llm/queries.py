@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oligo_engine.llm import chunk_dedup, decontamination, minhash, mixing, suffix_dedup, token_counts
+from oligo_engine.llm import chunk_dedup, decontamination, minhash, mixing, suffix_dedup, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +88,22 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), weights=(3, 1, 2), share=1.5, max_epochs=2)
 
 
+WARC_SQL = """
+WITH rows AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first_page FROM rows WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT r.page_id, r.payload_bytes, r.payload_digest,
+       CASE WHEN first_page IS NOT NULL AND first_page IS DISTINCT FROM r.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_page IS NOT NULL AND first_page IS DISTINCT FROM r.page_id THEN first_page END AS refers_to
+FROM rows r LEFT JOIN firsts f ON r.payload_digest = f.payload_digest AND r.payload_bytes >= 100
+"""
+
+
+@query("op7_warc_round_trip", WARC_SQL)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived(table(spark, sf, "pages"), least=100)
+
+
 @query("op9_minhash_near_duplicates")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), words=2, percent=80)
