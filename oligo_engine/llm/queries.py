@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from oligo_engine.llm import chunk_dedup, decontamination, minhash, mixing, suffix_dedup, token_counts, warc
+from oligo_engine.llm import (
+    chunk_dedup,
+    decontamination,
+    language_id,
+    minhash,
+    mixing,
+    neighbours,
+    suffix_dedup,
+    token_counts,
+    toxic_text,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +61,13 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = toxic_text.toxicity(docs, table(spark, sf, "labels"), threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -104,6 +122,16 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived(table(spark, sf, "pages"), least=100)
 
 
+@query("op8_nearest_neighbours")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query("op9_minhash_near_duplicates")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf, "documents"), words=2, percent=80)
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.identify(table(spark, sf, "documents").select("doc_id", "text", "lang"))
