@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from oligo_engine.llm.common import slabs
+from oligo_engine.llm.common import map_arrow, slabs
 
 #: Chunk length in bytes: no cut below the first, a forced one at the third.
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 24, 6, 512
@@ -102,7 +102,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(chunk, f"doc_id {kind}, start int, end int, digest binary")
+    return map_arrow(docs.select("doc_id", "text"), chunk, f"doc_id {kind}, start int, end int, digest binary")
 
 
 def repeated(chunks: DataFrame) -> DataFrame:
@@ -163,4 +163,4 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     schema = T.StructType(
         [*kinds.fields, *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]]
     )
-    return met.mapInArrow(cut_out, schema)
+    return map_arrow(met, cut_out, schema)

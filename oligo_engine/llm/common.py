@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -11,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that one numpy pass works on; a longer text makes a slab of its own.
-SLAB_BYTES = 1 << 20
+SLAB_BYTES = 1 << 19
+#: Rows of an Arrow batch: some MB of texts.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches that stay small where rows hold whole texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name)) > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all values and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from oligo_engine.llm.common import slabs
+from oligo_engine.llm.common import map_arrow, slabs
 from oligo_engine.llm.toxic_text import is_held_out
 
 WINDOW, HIDDEN = 64, 8
@@ -211,6 +211,6 @@ def identify(docs: DataFrame, per_language: int = 250, sample_chars: int = 8192)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text", F.col("text").rlike(r"\p{L}").alias("letters"))
-    return read.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double").select(
+    return map_arrow(read, predict, f"doc_id {kind}, lang_pred string, score double").select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )

@@ -9,7 +9,9 @@ buckets; a link is confirmed on the full sets of 64-bit shingle hashes.
 Groups of any size: documents with equal sets are one node from the start; a bucket
 emits pairs with its smallest id alone (linear in its size), and only members whose
 component that leaves apart from the smallest id's are compared with the rest of the
-bucket. At rows=6, bands=40 a pair of similarity 0.8 shares no bucket with a chance of
+bucket. Every pair is first held against a bound that is exact: bitmaps of the two sets
+differ in no more bits than the sets differ in shingles, so a pair whose bitmaps are too
+far apart cannot be a link and is never emitted. At rows=6, bands=40 a pair of similarity 0.8 shares no bucket with a chance of
 5e-6, and the chance falls steeply above.
 
 Defined results: a text without words, or null, has an empty set, links with nothing and
@@ -21,14 +23,17 @@ are copies. Further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from oligo_engine.llm.common import Rolling, checkpoint, list_column, mix64, slabs
+from oligo_engine.llm.common import Rolling, checkpoint, list_column, map_arrow, mix64, slabs
 
 ROWS, BANDS = 6, 40
+#: 64-bit words of a set's bitmap.
+BITMAP = 32
 SPACES = [9, 10, 11, 12, 13, 32]
 
 
@@ -107,17 +112,39 @@ def band_keys(signed: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """A bit for every shingle, at a place that its hash names."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(hashes % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def can_link(a: str, b: str, percent: int) -> Column:
+    """False only where sizes (n) or bitmaps (bits) prove the similarity to be lower.
+
+    With sets that differ in d shingles, similarity p / 100 means (m + n - d) / (m + n + d)
+    >= p / 100, so d (100 + p) <= (m + n) (100 - p); d is at least the bits that differ.
+    """
+    m, n = F.col(f"{a}.n"), F.col(f"{b}.n")
+    differ = reduce(
+        lambda x, y: x + y,
+        [F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(BITMAP)],
+    )
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (differ * (100 + percent) <= (m + n) * (100 - percent))
+
+
 def signed_documents(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (k1, k2) and the band keys."""
+    """doc_id, n_shingles, a 128-bit digest of the set (k1, k2), its bitmap and the band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(11)
         for batch in batches:
-            sizes, k1, k2, keys = [], [], [], []
+            sizes, k1, k2, keys, bits = [], [], [], [], []
             for found in distinct_sets(batch.column(1), words, rolling):
                 sizes.append(len(found))
                 k1.append(int(np.bitwise_xor.reduce(mix64(found))) if len(found) else 0)
                 k2.append(int(np.sum(found * (found | np.uint64(1)), dtype=np.uint64)))
+                bits.append(bitmap(found))
                 keys.append(band_keys(signature(found, bands * rows), bands, rows) if len(found) else np.zeros(0, np.uint64))
             yield pa.record_batch(
                 [
@@ -125,14 +152,17 @@ def signed_documents(docs: DataFrame, words: int, bands: int, rows: int) -> Data
                     pa.array(sizes, pa.int64()),
                     pa.array(np.array(k1, np.uint64).view(np.int64)),
                     pa.array(np.array(k2, np.uint64).view(np.int64)),
+                    list_column(np.concatenate(bits or [np.zeros(0, np.int64)]), np.full(len(bits), BITMAP)),
                     list_column(np.concatenate(keys or [np.zeros(0, np.uint64)]).view(np.int64), np.array([len(k) for k in keys])),
                 ],
-                ["doc_id", "n_shingles", "k1", "k2", "keys"],
+                ["doc_id", "n_shingles", "k1", "k2", "bits", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        sign, f"doc_id {kind}, n_shingles long, k1 long, k2 long, keys array<long>"
+    return map_arrow(
+        docs.select("doc_id", "text"),
+        sign,
+        f"doc_id {kind}, n_shingles long, k1 long, k2 long, bits array<long>, keys array<long>",
     )
 
 
@@ -152,7 +182,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-    return wanted.mapInArrow(shingle, f"id {kind}, shingles array<long>")
+    return map_arrow(wanted, shingle, f"id {kind}, shingles array<long>")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -209,19 +239,23 @@ def linked_components(
     nodes = (
         signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
         .groupBy("k1", "k2", "n_shingles")
-        .agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    )
-    placed = nodes.select(F.explode("keys").alias("bucket"), "id", F.col("n_shingles").alias("n"))
-    shared = placed.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("_least"), F.count("*").alias("_size")).filter("_size > 1")
-    members = checkpoint(
-        placed.join(shared, "bucket").select("bucket", "id", "n", F.col("_least.id").alias("rep"), F.col("_least.n").alias("rep_n"))
+        .agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+        .select("id", F.col("n_shingles").alias("n"), "bits", "keys")
     )
-
-    def near(m: str, n: str):
-        return 100 * F.least(m, n) >= percent * F.greatest(m, n)
-
-    met = members.filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"), near("n", "rep_n").alias("near")).distinct()
-    edges = checkpoint(confirmed(docs, met.filter("near").select("a", "b"), words, percent))
+    placed = nodes.select(F.explode("keys").alias("bucket"), "id")
+    shared = placed.groupBy("bucket").agg(F.min("id").alias("rep"), F.count("*").alias("_size")).filter("_size > 1")
+    members = checkpoint(placed.join(shared, "bucket").select("bucket", "id", "rep"))
+    sketches = nodes.select("id", "n", "bits").join(members.select("id").distinct(), "id", "left_semi")
+    sketches = checkpoint(sketches)
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that no bound excludes."""
+        x, y = sketches.alias("x"), sketches.alias("y")
+        named = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+        return named.filter(can_link("x", "y", percent)).select("a", "b")
+
+    met = members.filter(F.col("id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    edges = checkpoint(confirmed(docs, possible(met), words, percent))
     found = components(edges)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -233,13 +267,18 @@ def linked_components(
 
     left = apart(met)
     again = members.join(left.select(F.col("a").alias("rep"), F.col("b").alias("id")), ["rep", "id"], "left_semi")
+    own = again.join(sketches, "id").alias("l")
+    others = (
+        members.filter(F.col("id") != F.col("rep"))
+        .join(again.select("bucket").distinct(), "bucket", "left_semi")
+        .join(sketches, "id")
+        .alias("m")
+    )
     rest = (
-        again.alias("l")
-        .join(members.alias("m"), "bucket")
-        .filter((F.col("l.id") != F.col("m.id")) & (F.col("m.id") != F.col("m.rep")) & near("l.n", "m.n"))
+        own.join(others, (F.col("l.bucket") == F.col("m.bucket")) & (F.col("l.id") != F.col("m.id")) & can_link("l", "m", percent))
         .select(F.least("l.id", "m.id").alias("a"), F.greatest("l.id", "m.id").alias("b"))
         .distinct()
-        .join(met.select("a", "b"), ["a", "b"], "left_anti")
+        .join(met, ["a", "b"], "left_anti")
     )
     more = checkpoint(apart(rest))
     if not more.isEmpty():

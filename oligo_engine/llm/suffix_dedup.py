@@ -17,7 +17,9 @@ the anchor on.
    compared to the left, and those that share ``length`` bytes in all are repeats, given
    for every occurrence and not for neighbours alone.
 4. A seed with more than ``GROUP`` different contexts is not gathered: its strings of
-   ``length`` bytes are counted by digest, which partial aggregation shrinks.
+   ``length`` bytes are counted by digest, which partial aggregation shrinks. The strings
+   that start in a stretch of ``STRETCH`` bytes share a core; where the core is unique
+   none of them repeats, so most are never made.
 
 Defined results: null and empty texts have 0 bytes and the digest of nothing; texts under
 ``length`` bytes stay whole; matches never cross texts; rows that share an id are told
@@ -34,9 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from oligo_engine.llm.common import Rolling, checkpoint, slabs
+from oligo_engine.llm.common import Rolling, checkpoint, list_column, map_arrow, release, slabs
 
-LENGTH, SEED, GROUP = 400, 128, 256
+LENGTH, SEED, GROUP, STRETCH = 400, 128, 256, 16
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,37 +79,38 @@ class Anchors:
         return at, seeds[at], self.two.span(self.two.prefix(data), a, b) + shape
 
 
-def tag_of(text: bytes) -> int:
-    """Tells rows of one id apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and 96 bits (key, tag) that name a row, rows of one id apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", text).alias("key"), F.hash(text, "doc_id").alias("tag"))
 
 
-def anchored(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """doc_id, tag, n_bytes and the packed anchors of each text: at, seed, context."""
+def anchored(rows: DataFrame, length: int, seed: int) -> DataFrame:
+    """key, tag and the packed anchors of each text: at, seed, context."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length, seed)
         for batch in batches:
-            tags, sizes, places, seeds, contexts = [], [], [], [], []
-            for _, data, offsets in slabs(batch.column(1)):
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                    text = data[a:b]
-                    at, hashed, context = anchors.find(text)
-                    tags.append(tag_of(text.tobytes()))
-                    sizes.append(b - a)
-                    places.append(at.astype(np.int32))
-                    seeds.append(hashed.view(np.int64))
-                    contexts.append(context.view(np.int64))
-            longs = pa.list_(pa.int64())
+            found = [
+                anchors.find(data[a:b])
+                for _, data, offsets in slabs(batch.column(2))
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())
+            ]
+            sizes = np.array([len(f[0]) for f in found], np.int64)
+            columns = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in zip(*found)]
             yield pa.record_batch(
-                [batch.column(0), pa.array(tags, pa.int64()), pa.array(sizes, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(seeds, longs), pa.array(contexts, longs)],
-                ["doc_id", "tag", "n_bytes", "at", "seed", "context"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    list_column(columns[0].astype(np.int32), sizes),
+                    list_column(columns[1].view(np.int64), sizes),
+                    list_column(columns[2].view(np.int64), sizes),
+                ],
+                ["key", "tag", "at", "seed", "context"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        find, f"doc_id {kind}, tag long, n_bytes long, at array<int>, seed array<long>, context array<long>"
-    )
+    schema = "key long, tag int, at array<int>, seed array<long>, context array<long>"
+    return map_arrow(rows.select("key", "tag", "text"), find, schema)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -167,21 +170,16 @@ def shared_strings(befores: list[bytes], afters: list[bytes], length: int) -> li
     return found
 
 
-def contexts_of(docs: DataFrame, wanted: DataFrame, length: int, seed: int) -> DataFrame:
+def contexts_of(rows: DataFrame, wanted: DataFrame, length: int, seed: int) -> DataFrame:
     """seed, context, large, before, after: the bytes around the wanted examples."""
     reach = length - seed
-    listed = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).agg(
-        F.collect_list(F.struct("at", "seed", "context", "large")).alias("_asked")
-    )
-    met = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "_tag", "_asked")
+    listed = wanted.groupBy("key", "tag").agg(F.collect_list(F.struct("at", "seed", "context", "large")).alias("_asked"))
+    met = rows.join(listed, ["key", "tag"]).select("text", "_asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value, tag, asked in zip(*batch.columns):
-                text = (value.as_py() or "").encode()
-                if tag_of(text) != tag.as_py():
-                    continue
-                asked = asked.as_py()
+            for value, asked in zip(*batch.columns):
+                text, asked = (value.as_py() or "").encode(), asked.as_py()
                 yield pa.record_batch(
                     [
                         pa.array([x["seed"] for x in asked], pa.int64()),
@@ -193,7 +191,7 @@ def contexts_of(docs: DataFrame, wanted: DataFrame, length: int, seed: int) -> D
                     ["seed", "context", "large", "before", "after"],
                 )
 
-    return met.mapInArrow(cut, "seed long, context long, large boolean, before binary, after binary")
+    return map_arrow(met, cut, "seed long, context long, large boolean, before binary, after binary")
 
 
 FOUND = "seed long, context long, least int, most int"
@@ -227,42 +225,63 @@ def scanned(examples: DataFrame, length: int) -> DataFrame:
         yield batch_of(close())
 
     dealt = examples.select("seed", "context", "before", "after").repartition("seed").sortWithinPartitions("seed")
-    return dealt.mapInArrow(scan, FOUND)
+    return map_arrow(dealt, scan, FOUND)
 
 
 def counted(examples: DataFrame, length: int) -> DataFrame:
     """The same by digests of all strings through a context, for seeds with many contexts."""
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(text: bytes) -> bytes:
+        return hashlib.blake2b(text, digest_size=16).digest()
+
+    def batch_of(rows: list[tuple], last: str, kind: pa.DataType) -> pa.RecordBatch:
+        seeds, contexts, places, values = zip(*rows) if rows else ((),) * 4
+        return pa.record_batch(
+            [pa.array(seeds, pa.int64()), pa.array(contexts, pa.int64()), pa.array(places, pa.int32()), pa.array(values, kind)],
+            ["seed", "context", "place", last],
+        )
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes that all strings share which start ``far`` .. ``far`` + STRETCH - 1
+        bytes before the anchor; at a text's end they are what is left of them."""
         for batch in batches:
+            rows = []
             for seed, context, before, after in zip(*(c.to_pylist() for c in batch.columns)):
                 text, at = before + after, len(before)
-                places = range(min(at, len(text) - length) + 1)
-                yield pa.record_batch(
-                    [
-                        pa.array([seed] * len(places), pa.int64()),
-                        pa.array([context] * len(places), pa.int64()),
-                        pa.array([at - p for p in places], pa.int32()),
-                        pa.array([hashlib.blake2b(text[p : p + length], digest_size=16).digest() for p in places], pa.binary()),
-                    ],
-                    ["seed", "context", "off", "digest"],
-                )
+                for far in range(0, at + 1, STRETCH):
+                    a, b = max(at - far, 0), at - far - STRETCH + 1 + length
+                    rows.append((seed, context, far, digest(text[a : max(b, a)])))
+            yield batch_of(rows, "core", pa.binary())
 
-    strings = examples.select("seed", "context", "before", "after").mapInArrow(
-        split, "seed long, context long, off int, digest binary"
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for seed, context, before, after, places in zip(*(c.to_pylist() for c in batch.columns)):
+                text, at = before + after, len(before)
+                for far in places:
+                    for p in range(max(at - far - STRETCH + 1, 0), min(at - far, len(text) - length) + 1):
+                        rows.append((seed, context, at - p, digest(text[p : p + length])))
+            yield batch_of(rows, "digest", pa.binary())
+
+    cored = map_arrow(
+        examples.select("seed", "context", "before", "after"), cores, "seed long, context long, place int, core binary"
     )
-    twice = strings.groupBy("seed", "off", "digest").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return strings.join(twice, ["seed", "off", "digest"]).select(
-        "seed", "context", F.col("off").alias("least"), F.col("off").alias("most")
+    alike = cored.groupBy("seed", "place", "core").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    open_ = cored.join(alike, ["seed", "place", "core"]).groupBy("seed", "context").agg(F.collect_set("place").alias("places"))
+    asked = examples.join(open_, ["seed", "context"]).select("seed", "context", "before", "after", "places")
+    made = checkpoint(map_arrow(asked, strings, "seed long, context long, place int, digest binary"))
+    twice = made.groupBy("seed", "place", "digest").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    return made.join(twice, ["seed", "place", "digest"]).select(
+        "seed", "context", F.col("place").alias("least"), F.col("place").alias("most")
     )
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
-    """doc_id, tag, spans: byte ranges [a, b) covered by repeated strings, not merged."""
-    packed = checkpoint(anchored(docs, length, seed))
-    every = packed.select("doc_id", "tag", "n_bytes", F.explode(F.arrays_zip("at", "seed", "context")).alias("x")).select(
-        "doc_id", "tag", "n_bytes", "x.*"
-    )
+def repeated_spans(rows: DataFrame, length: int, seed: int, group: int) -> DataFrame:
+    """key, tag, spans: byte ranges covered by repeated strings, not merged, each packed
+    as start * 2**32 + end; an end may pass the end of the text."""
+    spark = rows.sparkSession
+    packed = checkpoint(anchored(rows, length, seed))
+    every = packed.select("key", "tag", F.explode(F.arrays_zip("at", "seed", "context")).alias("x")).select("key", "tag", "x.*")
     seeds = (
         every.groupBy("seed")
         .agg(F.count("*").alias("_n"), F.min("context").alias("_low"), F.max("context").alias("_high"))
@@ -270,35 +289,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED, grou
         .select("seed", (F.col("_low") != F.col("_high")).alias("mixed"))
     )
     met = checkpoint(every.join(seeds, "seed"))
+    del packed, every, seeds
+    release(spark)
     contexts = (
         met.filter("mixed")
         .groupBy("seed", "context")
-        .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "at")).alias("_one"))
+        .agg(F.count("*").alias("n"), F.min(F.struct("key", "tag", "at")).alias("_one"))
     )
     contexts = checkpoint(contexts.select("seed", "context", "n", "_one.*"))
     sizes = contexts.groupBy("seed").agg((F.count("*") > group).alias("large"), F.min("n").alias("_least"))
     wanted = contexts.join(sizes.filter("_least = 1"), "seed")
-    examples = checkpoint(contexts_of(docs, wanted, length, seed))
+    examples = checkpoint(contexts_of(rows, wanted, length, seed))
+    del sizes, wanted
+    release(spark)
     found = scanned(examples.filter("NOT large"), length).unionByName(counted(examples.filter("large"), length))
     reach = length - seed
-    alike = contexts.filter("n > 1").select(
-        "seed", "context", F.lit(0).alias("least"), F.lit(reach).alias("most")
-    )
-    verdicts = (
-        found.unionByName(alike)
-        .groupBy("seed", "context")
-        .agg(F.collect_set(F.struct("least", "most")).alias("ranges"))
-    )
-    through = met.filter("mixed").join(verdicts, ["seed", "context"]).select("doc_id", "tag", "n_bytes", "at", F.explode("ranges").alias("r"))
-    whole = met.filter("NOT mixed").select(
-        "doc_id", "tag", "n_bytes", "at", F.struct(F.lit(0).alias("least"), F.lit(reach).alias("most")).alias("r")
-    )
-    first = F.greatest(F.col("at") - F.col("r.most"), F.lit(0))
-    last = F.least((F.col("at") - F.col("r.least")).cast("long"), F.col("n_bytes") - length)
+    alike = contexts.filter("n > 1").select("seed", "context", F.lit(0).alias("least"), F.lit(reach).alias("most"))
+    verdicts = checkpoint(found.unionByName(alike))
+    del examples, found, contexts, alike
+    release(spark)
+    through = met.filter("mixed").join(verdicts, ["seed", "context"]).select("key", "tag", "at", "least", "most")
+    whole = met.filter("NOT mixed").select("key", "tag", "at", F.lit(0).alias("least"), F.lit(reach).alias("most"))
+    start = F.greatest(F.col("at") - F.col("most"), F.lit(0)).cast("long")
+    end = (F.col("at") - F.col("least") + length).cast("long")
     return (
         through.unionByName(whole)
-        .groupBy("doc_id", "tag")
-        .agg(F.collect_set(F.struct(first.alias("a"), (last + length).cast("int").alias("b"))).alias("spans"))
+        .select("key", "tag", (F.shiftleft(start, 32) + end).alias("span"))
+        .groupBy("key", "tag")
+        .agg(F.collect_list("span").alias("spans"))
     )
 
 
@@ -314,17 +332,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of every row."""
-    spans = repeated_spans(docs, length, seed, group)
-    listed = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("tag", "spans")).alias("_marks"))
-    met = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "_marks")
+    rows = keyed(docs)
+    spans = repeated_spans(rows, length, seed, group)
+    met = rows.join(spans, ["key", "tag"], "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, runs, kept, gone = [], [], [], [], []
-            for value, marks in zip(batch.column(1), batch.column(2)):
-                text, marks = (value.as_py() or "").encode(), marks.as_py()
-                tag = tag_of(text) if marks else None
-                found = merged([(s["a"], s["b"]) for m in marks or [] if m["tag"] == tag for s in m["spans"]])
+            for value, spans in zip(batch.column(1), batch.column(2)):
+                text = (value.as_py() or "").encode()
+                found = merged([(s >> 32, min(s & 0xFFFFFFFF, len(text))) for s in spans.as_py() or []])
                 digest, last = hashlib.sha256(), 0
                 for a, b in found:
                     digest.update(text[last:a])
@@ -342,7 +359,8 @@ def dedup_suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, grou
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return met.mapInArrow(
+    return map_arrow(
+        met,
         cut,
         f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>",
     )

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from oligo_engine.llm.common import map_arrow
+
 #: Fixed value: the byte-level pre-tokenizer's pattern, with its white space spelt out.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -134,4 +136,4 @@ def token_counts(
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long"
-    return docs.select("doc_id", "text", size).mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_arrow(docs.select("doc_id", "text", size), count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from oligo_engine.llm.common import map_arrow
+
 #: The lexicon before learning: common English insults.
 BASE = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "imbecile", "dumbass", "retard", "filth", "vermin")
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown")
@@ -175,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int, exceptions: Sequ
             ["term", "toxic", "clean"],
         )
 
-    counts = rows.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = map_arrow(rows, count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     listed = counts.filter((F.col("term") == "") | (F.col("toxic") >= 4) & (F.col("toxic") > F.col("clean"))).collect()
     toxic, clean = next(((r["toxic"], r["clean"]) for r in listed if r["term"] == ""), (0, 0))
     lexicon = {f" {w} ": 4.0 for w in BASE}
@@ -191,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int, exceptions: Sequ
             x = features(iter(batch.column(0).to_pylist()), lexicon, exceptions)
             yield pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], ["a", "b", "toxic"])
 
-    seen = rows.mapInArrow(describe, "a double, b double, toxic int").collect()
+    seen = map_arrow(rows, describe, "a double, b double, toxic int").collect()
     x = np.array([(r["a"], r["b"]) for r in seen]).reshape(len(seen), 2)
     return lexicon, fitted(x, np.array([float(r["toxic"] > 0) for r in seen]))
 
@@ -224,6 +226,6 @@ def toxicity(
             yield pa.record_batch([*batch.columns, pa.array(out, pa.float64())], [*own, "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(score, schema).withColumns(
+    return map_arrow(docs, score, schema).withColumns(
         {"held_out": is_held_out(F.col("doc_id")), "predicted": (F.col("score") >= threshold).cast("int")}
     )
