@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from oligo_engine.llm.common import Rolling, checkpoint, list_column, map_arrow, release, slabs
+from oligo_engine.llm.common import Rolling, Scratch, checkpoint, list_column, map_arrow, release, slabs
 
 LENGTH, SEED, GROUP, STRETCH = 400, 128, 256, 16
 
@@ -228,7 +228,7 @@ def scanned(examples: DataFrame, length: int) -> DataFrame:
     return map_arrow(dealt, scan, FOUND)
 
 
-def counted(examples: DataFrame, length: int) -> DataFrame:
+def counted(examples: DataFrame, length: int, tables: Scratch) -> DataFrame:
     """The same by digests of all strings through a context, for seeds with many contexts."""
 
     def digest(text: bytes) -> bytes:
@@ -269,10 +269,16 @@ def counted(examples: DataFrame, length: int) -> DataFrame:
     alike = cored.groupBy("seed", "place", "core").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     open_ = cored.join(alike, ["seed", "place", "core"]).groupBy("seed", "context").agg(F.collect_set("place").alias("places"))
     asked = examples.join(open_, ["seed", "context"]).select("seed", "context", "before", "after", "places")
-    made = checkpoint(map_arrow(asked, strings, "seed long, context long, place int, digest binary"))
+    made = tables.keep(map_arrow(asked, strings, "seed long, context long, place int, digest binary"))
     twice = made.groupBy("seed", "place", "digest").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return made.join(twice, ["seed", "place", "digest"]).select(
-        "seed", "context", F.col("place").alias("least"), F.col("place").alias("most")
+    places = made.join(twice, ["seed", "place", "digest"]).groupBy("seed", "context").agg(
+        F.array_sort(F.collect_set("place")).alias("p")
+    )
+    # runs of neighbouring places
+    first = F.filter("p", lambda x, i: (i == 0) | (x - F.get("p", i - 1) > 1))
+    last = F.filter("p", lambda x, i: (i == F.size("p") - 1) | (F.get("p", i + 1) - x > 1))
+    return places.select("seed", "context", F.explode(F.arrays_zip(first.alias("least"), last.alias("most"))).alias("r")).select(
+        "seed", "context", "r.least", "r.most"
     )
 
 
@@ -280,44 +286,46 @@ def repeated_spans(rows: DataFrame, length: int, seed: int, group: int) -> DataF
     """key, tag, spans: byte ranges covered by repeated strings, not merged, each packed
     as start * 2**32 + end; an end may pass the end of the text."""
     spark = rows.sparkSession
-    packed = checkpoint(anchored(rows, length, seed))
-    every = packed.select("key", "tag", F.explode(F.arrays_zip("at", "seed", "context")).alias("x")).select("key", "tag", "x.*")
-    seeds = (
-        every.groupBy("seed")
-        .agg(F.count("*").alias("_n"), F.min("context").alias("_low"), F.max("context").alias("_high"))
-        .filter("_n > 1")
-        .select("seed", (F.col("_low") != F.col("_high")).alias("mixed"))
-    )
-    met = checkpoint(every.join(seeds, "seed"))
-    del packed, every, seeds
-    release(spark)
-    contexts = (
-        met.filter("mixed")
-        .groupBy("seed", "context")
-        .agg(F.count("*").alias("n"), F.min(F.struct("key", "tag", "at")).alias("_one"))
-    )
-    contexts = checkpoint(contexts.select("seed", "context", "n", "_one.*"))
-    sizes = contexts.groupBy("seed").agg((F.count("*") > group).alias("large"), F.min("n").alias("_least"))
-    wanted = contexts.join(sizes.filter("_least = 1"), "seed")
-    examples = checkpoint(contexts_of(rows, wanted, length, seed))
-    del sizes, wanted
-    release(spark)
-    found = scanned(examples.filter("NOT large"), length).unionByName(counted(examples.filter("large"), length))
-    reach = length - seed
-    alike = contexts.filter("n > 1").select("seed", "context", F.lit(0).alias("least"), F.lit(reach).alias("most"))
-    verdicts = checkpoint(found.unionByName(alike))
-    del examples, found, contexts, alike
-    release(spark)
-    through = met.filter("mixed").join(verdicts, ["seed", "context"]).select("key", "tag", "at", "least", "most")
-    whole = met.filter("NOT mixed").select("key", "tag", "at", F.lit(0).alias("least"), F.lit(reach).alias("most"))
-    start = F.greatest(F.col("at") - F.col("most"), F.lit(0)).cast("long")
-    end = (F.col("at") - F.col("least") + length).cast("long")
-    return (
-        through.unionByName(whole)
-        .select("key", "tag", (F.shiftleft(start, 32) + end).alias("span"))
-        .groupBy("key", "tag")
-        .agg(F.collect_list("span").alias("spans"))
-    )
+    with Scratch(spark) as tables:
+        packed = tables.keep(anchored(rows, length, seed))
+        every = packed.select("key", "tag", F.explode(F.arrays_zip("at", "seed", "context")).alias("x")).select("key", "tag", "x.*")
+        seeds = (
+            every.groupBy("seed")
+            .agg(F.count("*").alias("_n"), F.min("context").alias("_low"), F.max("context").alias("_high"))
+            .filter("_n > 1")
+            .select("seed", (F.col("_low") != F.col("_high")).alias("mixed"))
+        )
+        met = tables.keep(every.join(seeds, "seed"))
+        del packed, every, seeds
+        release(spark)
+        contexts = (
+            met.filter("mixed")
+            .groupBy("seed", "context")
+            .agg(F.count("*").alias("n"), F.min(F.struct("key", "tag", "at")).alias("_one"))
+        )
+        contexts = tables.keep(contexts.select("seed", "context", "n", "_one.*"))
+        sizes = contexts.groupBy("seed").agg((F.count("*") > group).alias("large"), F.min("n").alias("_least"))
+        wanted = contexts.join(sizes.filter("_least = 1"), "seed")
+        examples = tables.keep(contexts_of(rows, wanted, length, seed))
+        del sizes, wanted
+        release(spark)
+        found = scanned(examples.filter("NOT large"), length).unionByName(counted(examples.filter("large"), length, tables))
+        reach = length - seed
+        alike = contexts.filter("n > 1").select("seed", "context", F.lit(0).alias("least"), F.lit(reach).alias("most"))
+        verdicts = tables.keep(found.unionByName(alike))
+        del examples, found, contexts, alike
+        release(spark)
+        through = met.filter("mixed").join(verdicts, ["seed", "context"]).select("key", "tag", "at", "least", "most")
+        whole = met.filter("NOT mixed").select("key", "tag", "at", F.lit(0).alias("least"), F.lit(reach).alias("most"))
+        start = F.greatest(F.col("at") - F.col("most"), F.lit(0)).cast("long")
+        end = (F.col("at") - F.col("least") + length).cast("long")
+        spans = (
+            through.unionByName(whole)
+            .select("key", "tag", (F.shiftleft(start, 32) + end).alias("span"))
+            .groupBy("key", "tag")
+            .agg(F.collect_list("span").alias("spans"))
+        )
+        return checkpoint(spans)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
