@@ -309,7 +309,7 @@ _VARIANT_ROWS = "v_in AS (SELECT parent_id AS id, s AS sense, pa AS antisense, a
             f"adj AS (SELECT *, {S.adjusted(S.clip('raw'))} AS eff FROM pen)", _VARIANT_ROWS.format(source="built"), _safety_sql("v_in"),
             "f AS (SELECT adj.parent_id, safety_score, safety_status, CASE WHEN safety_score < 100 THEN (CASE WHEN NOT is_safe THEN 0e0 ELSE greatest(0e0, eff - (100e0 - safety_score) * 0.2e0) END) ELSE eff END AS efficacy_score "
             "FROM adj JOIN safe ON adj.parent_id = safe.id)")
-    + f"SELECT parent_id, safety_score, safety_status, efficacy_score, {S.efficacy_label('efficacy_score')} AS efficacy_label FROM f",
+    + f"SELECT parent_id, safety_score, safety_status, efficacy_score, {S.efficacy_label('round(efficacy_score, 1)')} AS efficacy_label FROM f",
 )
 def p12(spark: SparkSession, sf: str) -> DataFrame:
     designs = score_designs(_designs(spark, sf), SCORER, I.seed_viability(spark, sf), details=False)

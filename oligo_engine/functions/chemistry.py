@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from oligo_engine.functions.cleaning import stripped
 from oligo_engine.constants import (
     BULKY_SYMBOLS,
     CANONICAL,
@@ -99,10 +100,10 @@ def parse_instructions(symbols: Column, positions: Column, strand: Column) -> Co
     """
     known = F.array(*[F.lit(s) for s in MODIFICATIONS + CANONICAL])
     given = (F.coalesce(F.length(symbols), F.lit(0)) > 0) & (F.coalesce(F.length(positions), F.lit(0)) > 0)
-    symbol_groups = F.transform(F.split(symbols, ",,"), lambda x: F.trim(x))
+    symbol_groups = F.transform(F.split(symbols, ",,"), lambda x: stripped(x))
     position_groups = F.transform(
         F.split(positions, ",,"),
-        lambda g: F.filter(F.transform(F.split(g, ","), lambda x: F.trim(x)), lambda p: p != ""),
+        lambda g: F.filter(F.transform(F.split(g, ","), lambda x: stripped(x)), lambda p: p != ""),
     )
     tokens = F.flatten(position_groups)
     steps = F.flatten(

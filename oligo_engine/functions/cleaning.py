@@ -15,6 +15,11 @@ from oligo_engine.constants import (
 from oligo_engine.functions.sequence import is_rna, letters_as_rna
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strict_sequence(raw: Column) -> Column:
     """Struct of the normalised sequence and the reason it is unusable (or null).
 
@@ -23,7 +28,7 @@ def strict_sequence(raw: Column) -> Column:
     rna = letters_as_rna(raw)
     bad = F.regexp_replace(rna, "[AUGC]", "")
     reason = (
-        F.when(raw.isNull() | (F.trim(raw) == ""), F.lit("empty input"))
+        F.when(raw.isNull() | (stripped(raw) == ""), F.lit("empty input"))
         .when(F.length(bad) > 0, F.lit("unexpected characters"))
         .when(F.length(rna) < 21, F.lit("shorter than 21 nt"))
     )
@@ -53,7 +58,7 @@ def parse_efficacy_dashed(raw: Column) -> Column:
 
 
 def normalise_modification_name(name: Column) -> Column:
-    return F.trim(F.translate(F.lower(name), PRIME_MARKS, ""))
+    return stripped(F.translate(F.lower(name), PRIME_MARKS, ""))
 
 
 def modification_symbol(name: Column, rules: list[tuple[str, str]] | None = None) -> Column:
@@ -62,7 +67,7 @@ def modification_symbol(name: Column, rules: list[tuple[str, str]] | None = None
     Empty string where the field says "unmodified", null where no alias matches.
     The aliases form one ordered CASE, so no join or shuffle is needed.
     """
-    raw = F.trim(name)
+    raw = stripped(name)
     cleaned = normalise_modification_name(raw)
     chain = F.when(
         name.isNull() | raw.isin(UNMAPPABLE_AS_BLANK) | F.upper(raw).isin(CANONICAL), F.lit("")
@@ -74,7 +79,7 @@ def modification_symbol(name: Column, rules: list[tuple[str, str]] | None = None
 
 def is_unmodified(field: Column) -> Column:
     """True where a modification field says nothing was modified (null counts)."""
-    raw = F.trim(F.coalesce(field, F.lit("")))
+    raw = stripped(F.coalesce(field, F.lit("")))
     return F.lower(raw).isin(UNMODIFIED_TOKENS) | F.upper(raw).isin(CANONICAL)
 
 

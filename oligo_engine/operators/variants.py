@@ -13,7 +13,6 @@ from oligo_engine.constants import (
     MINI_SCAN_POSITIONS,
     MINI_SCAN_SYMBOLS,
     MODIFICATIONS,
-    STRAND_LENGTH,
 )
 from oligo_engine.functions.chemistry import (
     apply_steps,
@@ -28,8 +27,8 @@ VARIANT_COLUMNS = [
 ]
 
 
-def scan_grid(symbols: list[str], strands: list[str], positions: int) -> Column:
-    """Array of (mod_symbol, mod_strand, mod_position), at most 30 x 2 x 21 entries."""
+def scan_grid(symbols: list[str], strands: list[str], positions: Column) -> Column:
+    """Array of (mod_symbol, mod_strand, mod_position); ``positions`` is the last position."""
     cells = F.array(
         *[
             F.struct(F.lit(s).alias("mod_symbol"), F.lit(t).alias("mod_strand"))
@@ -41,7 +40,7 @@ def scan_grid(symbols: list[str], strands: list[str], positions: int) -> Column:
         F.transform(
             cells,
             lambda c: F.transform(
-                F.sequence(F.lit(1), F.lit(positions)),
+                F.sequence(F.lit(1), positions),
                 lambda p: F.struct(
                     c.mod_symbol.alias("mod_symbol"),
                     c.mod_strand.alias("mod_strand"),
@@ -96,19 +95,20 @@ def expand(parents: DataFrame, grid: Column) -> DataFrame:
 
 
 def full_scan(parents: DataFrame, symbols: list[str] | None = None) -> DataFrame:
-    """Every symbol at every position of both strands: 1,260 variants per parent."""
+    """Every symbol at every position of both strands, however long: 1,260 variants of a
+    21-nt parent."""
     chosen = MODIFICATIONS if symbols is None else symbols
-    return expand(parents, scan_grid(chosen, ["sense", "antisense"], STRAND_LENGTH))
+    return expand(parents, scan_grid(chosen, ["sense", "antisense"], F.greatest(F.length("sense"), F.length("antisense"))))
 
 
 def mini_scan(parents: DataFrame) -> DataFrame:
     """Four symbols at guide positions 1-10: 40 variants per parent."""
-    return expand(parents, scan_grid(MINI_SCAN_SYMBOLS, ["antisense"], MINI_SCAN_POSITIONS))
+    return expand(parents, scan_grid(MINI_SCAN_SYMBOLS, ["antisense"], F.lit(MINI_SCAN_POSITIONS)))
 
 
 def positional_walk(parents: DataFrame, symbol: str) -> DataFrame:
     """One symbol walked along the guide strand."""
-    return expand(parents, scan_grid([symbol], ["antisense"], STRAND_LENGTH))
+    return expand(parents, scan_grid([symbol], ["antisense"], F.length("antisense")))
 
 
 def parent_as_variant(parents: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from oligo_engine.functions.cleaning import stripped
 from oligo_engine.constants import ALIAS_RULES, SYMBOLS
 
 MEASURED = T.StructType(
@@ -31,8 +33,8 @@ TAXONOMY = "symbol string, name string, binary string, type string"
 def _fasta_record(text: Column) -> tuple[Column, Column]:
     """Header and sequence of one record without its leading marker."""
     lines = F.split(F.regexp_replace(text, r"^\s*>", ""), r"\r?\n")
-    body = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x))
-    return F.trim(lines[0]), F.translate(F.upper(F.array_join(body, "")), "T", "U")
+    body = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "")
+    return stripped(lines[0]), F.translate(F.upper(F.regexp_replace(body, r"\s+", "")), "T", "U")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -78,9 +80,19 @@ def read_measured(spark: SparkSession, path: str, schema: T.StructType = MEASURE
 
 
 def read_seed_table(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated seed viabilities as ``seed, viability``."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema="Seed string, cell_viability double")
-    return rows.select(F.upper("Seed").alias("seed"), F.col("cell_viability").alias("viability"))
+    """Tab-separated seed viabilities as ``seed, viability``, columns found by name.
+
+    Without a file every seed is unknown; a column the file lacks comes out null.
+    """
+    try:
+        rows = spark.read.csv(path, sep="\t", header=True)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_seed_table(spark)
+    found = {c.strip(): F.col(f"`{c}`") for c in rows.columns}
+    seed, viability = (found.get(c, F.lit(None).cast("string")) for c in ("Seed", "cell_viability"))
+    return rows.select(F.upper(stripped(seed)).alias("seed"), stripped(viability).try_cast("double").alias("viability"))
 
 
 def empty_seed_table(spark: SparkSession) -> DataFrame:
