@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from oligo_engine.llm.common import map_arrow, slabs
 
 #: Chunk length in bytes: no cut below the first, a forced one at the third.
-MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 24, 6, 512
-MIN_BYTES = 128
+MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 20, 5, 512
+MIN_BYTES = 96
 
 
 def gear_table() -> np.ndarray:
