@@ -266,21 +266,28 @@ def linked_components(
         return named.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
 
     left = apart(met)
-    again = members.join(left.select(F.col("a").alias("rep"), F.col("b").alias("id")), ["rep", "id"], "left_semi")
-    own = again.join(sketches, "id").alias("l")
-    others = (
+    again = checkpoint(members.join(left.select(F.col("a").alias("rep"), F.col("b").alias("id")), ["rep", "id"], "left_semi"))
+
+    def described(rows: DataFrame) -> DataFrame:
+        """With sketch and component."""
+        known = found.select(F.col("node").alias("id"), "component")
+        return rows.join(sketches, "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    own = described(again.select("bucket", "id")).alias("l")
+    others = described(
         members.filter(F.col("id") != F.col("rep"))
         .join(again.select("bucket").distinct(), "bucket", "left_semi")
-        .join(sketches, "id")
-        .alias("m")
-    )
+        .join(again.select("bucket", "id", F.lit(True).alias("left")), ["bucket", "id"], "left")
+    ).alias("m")
+    # pairs of one component need no link; where both are left, one order is enough
+    open_pair = (F.col("l.component") != F.col("m.component")) & (F.col("m.left").isNull() | (F.col("l.id") < F.col("m.id")))
     rest = (
-        own.join(others, (F.col("l.bucket") == F.col("m.bucket")) & (F.col("l.id") != F.col("m.id")) & can_link("l", "m", percent))
+        own.join(others, (F.col("l.bucket") == F.col("m.bucket")) & open_pair & can_link("l", "m", percent))
         .select(F.least("l.id", "m.id").alias("a"), F.greatest("l.id", "m.id").alias("b"))
         .distinct()
         .join(met, ["a", "b"], "left_anti")
     )
-    more = checkpoint(apart(rest))
+    more = checkpoint(rest)
     if not more.isEmpty():
         found = components(edges.unionByName(confirmed(docs, more, words, percent)))
     return found
