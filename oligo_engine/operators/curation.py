@@ -10,6 +10,7 @@ from oligo_engine.functions.cleaning import (
     is_unmodified,
     lenient_sequence,
     modification_symbol,
+    stripped,
     parse_efficacy,
     strand_length_ok,
     strict_sequence,
@@ -144,7 +145,7 @@ def unmapped_frequencies(df: DataFrame, name: str) -> DataFrame:
     return (
         map_names(df, name)
         .filter(F.col("symbol").isNull())
-        .groupBy(F.trim(name).alias("name"))
+        .groupBy(stripped(F.col(name)).alias("name"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
