@@ -11,9 +11,10 @@ first occurrence back is one Spark can split, so a passage shared by a third of
 documents meets no single task.
 
 Defined results: null stays null and counts as empty; cuts fall between characters, so
-what is left is UTF-8; rows of one id are told apart by their place in the scan of that
-id's texts, copies included; a null id comes last in order; an empty table gives an empty
-result; names of further columns may not start with an underscore.
+what is left is UTF-8; rows of one id are told apart by digests of their text and come in
+the order of these; of rows equal in id and text one stays as if alone and the others are
+copies of it; a null id comes last in order; an empty table gives an empty result; names
+of further columns may not start with an underscore.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from oligo_engine.llm.common import map_arrow, slabs
+from oligo_engine.llm.common import checkpoint, map_arrow, slabs
 
 #: Chunk length in bytes: no cut below the first, a forced one at the third.
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 20, 5, 512
@@ -77,13 +78,34 @@ def chunk_column(column: pa.Array) -> Iterator[tuple[bytes, list[int]]]:
             yield data[a:b].tobytes(), cuts(data[a:b])
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """_row (id, digest of the text), start, end, digest of every chunk."""
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with 96 bits (_key, _tag) that name id and text, and _again at all but one
+    of the rows equal in both.
+
+    The one is the least by a number that is written down before it is compared, so no
+    group of equal rows meets one task.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    named = docs.withColumns({"_key": F.xxhash64("doc_id", text), "_tag": F.hash(text, "doc_id")})
+    name = ["_key", "_tag"]
+    twice = named.filter(F.octet_length(text) > 0).groupBy(*name).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    if twice.isEmpty():
+        return named.withColumn("_again", F.lit(False))
+    twice = checkpoint(twice)
+    equal = checkpoint(named.join(twice, name, "left_semi").withColumn("_nth", F.monotonically_increasing_id()))
+    least = equal.groupBy(*name).agg(F.min("_nth").alias("_nth")).withColumn("_one", F.lit(True))
+    told = equal.join(least, [*name, "_nth"], "left").withColumn("_again", F.col("_one").isNull())
+    alone = named.join(twice, name, "left_anti").withColumn("_again", F.lit(False))
+    return alone.unionByName(told.select(*alone.columns))
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """key, tag, doc_id, start, end, digest of every chunk; rows that come again have none."""
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, ends, digests = [], [], [], []
-            for i, (text, stops) in enumerate(chunk_column(batch.column(1))):
+            for i, (text, stops) in enumerate(chunk_column(batch.column(3))):
                 a = 0
                 for b in stops:
                     digests.append(hashlib.blake2b(text[a:b], digest_size=16).digest())
@@ -91,26 +113,30 @@ def chunked(docs: DataFrame) -> DataFrame:
                     ends.append(b)
                     a = b
                 rows += [i] * len(stops)
+            taken = pa.array(rows, pa.int64())
             yield pa.record_batch(
                 [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
+                    *[batch.column(c).take(taken) for c in range(3)],
                     pa.array(starts, pa.int32()),
                     pa.array(ends, pa.int32()),
                     pa.array(digests, pa.binary()),
                 ],
-                ["doc_id", "start", "end", "digest"],
+                ["key", "tag", "doc_id", "start", "end", "digest"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), chunk, f"doc_id {kind}, start int, end int, digest binary")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    once = rows.filter("NOT _again").select("_key", "_tag", "doc_id", "text")
+    return map_arrow(once, chunk, f"key long, tag int, doc_id {kind}, start int, end int, digest binary")
 
 
 def repeated(chunks: DataFrame) -> DataFrame:
-    """doc_id, start, end of the chunks that are not the first of their digest."""
-    place = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("start").alias("at"))
+    """key, tag, start, end of the chunks that are not the first of their digest."""
+    place = F.struct(
+        F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "key", "tag", F.col("start").alias("at")
+    )
     firsts = chunks.groupBy("digest").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     met = chunks.join(firsts.drop("_n"), "digest")
-    return met.filter(~place.eqNullSafe(F.col("_first"))).select("doc_id", "start", "end")
+    return met.filter(~place.eqNullSafe(F.col("_first"))).select("key", "tag", "start", "end")
 
 
 def spans_left(n: int, gone: list[tuple[int, int]], min_bytes: int) -> list[tuple[int, int]]:
@@ -127,24 +153,26 @@ def spans_left(n: int, gone: list[tuple[int, int]], min_bytes: int) -> list[tupl
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """All columns of ``docs`` with ``text`` shortened, and n_bytes, n_removed, n_spans.
 
-    Rows that share an id share their marks: a chunk is removed from such a row where it
-    stands at a marked place with the same extent.
+    Marks are gathered by row, so they are as many as its chunks at most; a row equal to
+    another in id and text goes whole where it is long enough.
     """
-    marks = repeated(chunked(docs)).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set(F.struct("start", "end")).alias("_gone")
+    rows = told_apart(docs)
+    marks = repeated(chunked(rows)).groupBy(F.col("key").alias("_key"), F.col("tag").alias("_tag")).agg(
+        F.collect_list(F.struct("start", "end")).alias("_gone")
     )
     own = docs.columns
-    met = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*own, "_gone")
+    met = rows.join(marks, ["_key", "_tag"], "left").select(*own, "_gone", "_again")
     kinds = docs.schema
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = own.index("text")
         for batch in batches:
             texts, sizes, removed, spans = [], [], [], []
-            for value, gone in zip(batch.column(at), batch.column(len(own))):
+            for value, gone, again in zip(batch.column(at), batch.column(len(own)), batch.column(len(own) + 1)):
                 text = value.as_py()
                 data = (text or "").encode()
-                found = spans_left(len(data), [(g["start"], g["end"]) for g in gone.as_py() or []], min_bytes)
+                places = [(0, len(data))] if again.as_py() else [(g["start"], g["end"]) for g in gone.as_py() or []]
+                found = spans_left(len(data), places, min_bytes)
                 kept, last = [], 0
                 for a, b in found:
                     kept.append(data[last:a])

@@ -89,6 +89,25 @@ def test_chunk_dedup_keeps_the_first_of_every_passage(docs, empty):
     assert chunk_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_chunk_dedup_tells_rows_of_one_id_apart(spark):
+    """Null ids of different lengths, one id with two texts, and equal rows."""
+    shared, own = prose(31, 90), [prose(40 + k, 60 + 30 * k) for k in range(6)]
+    rows = [(1, shared), (None, own[0]), (None, own[1] + " " + shared), (None, "é" * 30), (None, None), (None, ""),
+            (2, own[2]), (2, shared + " " + own[3]), (3, own[4]), (3, own[4]), (3, own[4]), (None, own[5]), (None, own[5]),
+            (4, "short"), (4, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = chunk_dedup.dedup_substrings(docs).collect()
+    assert len(out) == len(rows) and all(0 <= r["n_removed"] <= r["n_bytes"] for r in out)
+    left = [(r["doc_id"], r["text"]) for r in out]
+    for row in [(1, shared), (None, own[0]), (None, "é" * 30), (None, None), (2, own[2])]:
+        assert left.count(row) == 1
+    assert left.count((3, own[4])) == 1 and left.count((3, "")) == 2
+    assert left.count((None, own[5])) == 1 and left.count((None, "")) == 2 and left.count((4, "short")) == 2
+    for i, text, unique in ((None, own[1] + " " + shared, own[1]), (2, shared + " " + own[3], own[3])):
+        got = [r for r in out if r["doc_id"] == i and r["n_bytes"] == len(text.encode())]
+        assert len(got) == 1 and got[0]["n_removed"] > 250 and unique in got[0]["text"]
+
+
 def test_chunks_find_their_places_again_after_an_insertion():
     text = prose(21, 400).encode()
     moved = b"inserted words " + text
