@@ -3,8 +3,10 @@
 A gear hash rolls over the bytes of a text and cuts where its top bits are zero, so cuts
 depend on the last 32 bytes alone and find their places again after an insertion. Equal
 chunks are found by a 128-bit digest; the first occurrence (smallest id, then place)
-stays, later ones go where a run of them is at least ``min_bytes`` long, which leaves
-short accidental repeats alone.
+stays. A chunk met again is a seed only: seeds in a row with the same first occurrence make
+a run, and both ends of a run are compared with the bytes around that occurrence, further
+and further until they differ or a text ends. What touches is put together, and goes where
+it is at least ``min_bytes`` long, which leaves short accidental repeats alone.
 
 Hot chunks: occurrences are counted by partial aggregation, and the join that brings the
 first occurrence back is one Spark can split, so a passage shared by a third of all
@@ -24,13 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from oligo_engine.llm.common import checkpoint, map_arrow, slabs
+from oligo_engine.llm.common import Scratch, checkpoint, map_arrow, release, slabs
+from oligo_engine.llm.suffix_dedup import common
 
 #: Chunk length in bytes: no cut below the first, a forced one at the third.
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 20, 5, 512
 MIN_BYTES = 96
+#: Bytes compared at the end of a run at first; eight times as many each time all are equal.
+REACH = 128
 
 
 def gear_table() -> np.ndarray:
@@ -130,24 +136,129 @@ def chunked(rows: DataFrame) -> DataFrame:
 
 
 def repeated(chunks: DataFrame) -> DataFrame:
-    """key, tag, start, end of the chunks that are not the first of their digest."""
+    """key, tag, start, end of the chunks that are not the first of their digest, and the
+    place of that: first_key, first_tag, first_at."""
     place = F.struct(
         F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "key", "tag", F.col("start").alias("at")
     )
     firsts = chunks.groupBy("digest").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    met = chunks.join(firsts.drop("_n"), "digest")
-    return met.filter(~place.eqNullSafe(F.col("_first"))).select("key", "tag", "start", "end")
+    met = chunks.join(firsts.drop("_n"), "digest").filter(~place.eqNullSafe(F.col("_first")))
+    return met.select("key", "tag", "start", "end", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in ("key", "tag", "at")])
 
 
-def spans_left(n: int, gone: list[tuple[int, int]], min_bytes: int) -> list[tuple[int, int]]:
-    """Maximal runs of removed bytes that are long enough."""
+RUNS = "key long, tag int, start int, end int, first_key long, first_tag int, first_at int"
+
+
+def runs_of(chunks: DataFrame) -> DataFrame:
+    """Repeated chunks that follow each other here and at their first occurrence, as one."""
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[int]] = []
+            for key, tag, seeds in zip(*(c.to_pylist() for c in batch.columns)):
+                last = None
+                for x in seeds:
+                    source = (x["first_key"], x["first_tag"], x["first_at"] - x["start"])
+                    if source == last and out[-1][3] == x["start"]:
+                        out[-1][3] = x["end"]
+                    else:
+                        out.append([key, tag, x["start"], x["end"], x["first_key"], x["first_tag"], x["first_at"]])
+                    last = source
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            columns = zip(*out) if out else ((),) * 7
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in RUNS.split(", ")])
+
+    seeds = F.array_sort(F.collect_list(F.struct("start", "end", "first_key", "first_tag", "first_at")))
+    return map_arrow(repeated(chunks).groupBy("key", "tag").agg(seeds.alias("seeds")), join_up, RUNS)
+
+
+def bytes_beside(rows: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
+    """``asked`` (key, tag, ahead, at and others) with up to ``reach`` bytes of the row's
+    text from ``at`` on, or those before it in reverse."""
+    others = [c for c in asked.columns if c not in ("key", "tag")]
+    listed = asked.groupBy(F.col("key").alias("_key"), F.col("tag").alias("_tag")).agg(
+        F.collect_list(F.struct(*others)).alias("_asked")
+    )
+    texts = rows.filter("NOT _again").select("_key", "_tag", "text")
+    schema = T.StructType([*asked.select("key", "tag", *others).schema.fields, T.StructField("beside", T.BinaryType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = batch.column(2), batch.column(3)
+            beside = []
+            for value, asked in zip(texts, lists):
+                text = (value.as_py() or "").encode()
+                for x in asked.as_py():
+                    at = x["at"]
+                    beside.append(text[at : at + reach] if x["ahead"] else text[max(at - reach, 0) : at][::-1])
+            parent = pc.list_parent_indices(lists)
+            flat = lists.flatten()
+            yield pa.record_batch(
+                [batch.column(0).take(parent), batch.column(1).take(parent), *[flat.field(c) for c in others], pa.array(beside, pa.binary())],
+                ["key", "tag", *others, "beside"],
+            )
+
+    return map_arrow(texts.join(listed, ["_key", "_tag"]).select("_key", "_tag", "text", "_asked"), cut, schema)
+
+
+def extensions(rows: DataFrame, runs: DataFrame, tables: Scratch, reach: int = REACH) -> DataFrame:
+    """key, tag, start, end of the bytes beyond the ends of runs that are also found
+    beyond the ends of their first occurrences."""
+    own = ["key", "tag", "ahead", "at", "first_key", "first_tag", "first_at"]
+    size = F.col("end") - F.col("start")
+    before = runs.select("key", "tag", F.lit(False).alias("ahead"), F.col("start").alias("at"), "first_key", "first_tag", "first_at")
+    after = runs.select(
+        "key", "tag", F.lit(True).alias("ahead"), F.col("end").alias("at"), "first_key", "first_tag", (F.col("first_at") + size).alias("first_at")
+    )
+    ends = before.filter("at > 0 AND first_at > 0").unionByName(after)
+    found = None
+    while True:
+        places = ends.select(F.col("first_key").alias("key"), F.col("first_tag").alias("tag"), "ahead", F.col("first_at").alias("at"))
+        nothing = [F.lit(None).cast(t).alias(c) for c, t in (("first_key", "long"), ("first_tag", "int"), ("first_at", "int"))]
+        asked = ends.select(*own).unionByName(places.distinct().select("key", "tag", "ahead", "at", *nothing))
+        beside = tables.keep(bytes_beside(rows, asked, reach))
+        release(rows.sparkSession)
+        firsts = beside.filter("first_key IS NULL").select(
+            F.col("key").alias("first_key"), F.col("tag").alias("first_tag"), "ahead", F.col("at").alias("first_at"), F.col("beside").alias("first_beside")
+        )
+        met = beside.filter("first_key IS NOT NULL").join(firsts, ["first_key", "first_tag", "ahead", "first_at"])
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = zip(*(c.to_pylist() for c in batch.columns[len(own) :]))
+                yield pa.record_batch([*batch.columns[: len(own)], pa.array([common(a, b) for a, b in pairs], pa.int32())], [*own, "n"])
+
+        schema = T.StructType([*ends.select(*own).schema.fields, T.StructField("n", T.IntegerType())])
+        grown = tables.keep(map_arrow(met.select(*own, "beside", "first_beside"), compare, schema).filter("n > 0"))
+        release(rows.sparkSession)
+        spans = grown.select(
+            "key",
+            "tag",
+            F.when(F.col("ahead"), F.col("at")).otherwise(F.col("at") - F.col("n")).alias("start"),
+            F.when(F.col("ahead"), F.col("at") + F.col("n")).otherwise(F.col("at")).alias("end"),
+        )
+        found = spans if found is None else found.unionByName(spans)
+        step = F.when(F.col("ahead"), F.col("n")).otherwise(-F.col("n"))
+        ends = grown.filter(F.col("n") == reach).withColumns({"at": F.col("at") + step, "first_at": F.col("first_at") + step}).select(*own)
+        if ends.isEmpty():
+            return found
+        reach *= 8
+
+
+def spans_left(data: bytes, gone: list[tuple[int, int]], min_bytes: int) -> list[tuple[int, int]]:
+    """Maximal runs of removed bytes, cut back to whole characters, that are long enough."""
     runs: list[list[int]] = []
     for a, b in sorted(gone):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(b, runs[-1][1])
         else:
             runs.append([a, b])
-    return [(a, min(b, n)) for a, b in runs if b - a >= min_bytes]
+    for run in runs:
+        while run[0] < len(data) and data[run[0]] & 0xC0 == 0x80:
+            run[0] += 1
+        while run[1] < len(data) and data[run[1]] & 0xC0 == 0x80:
+            run[1] -= 1
+    return [(a, b) for a, b in runs if b > a and b - a >= min_bytes]
 
 
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -157,9 +268,16 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     another in id and text goes whole where it is long enough.
     """
     rows = told_apart(docs)
-    marks = repeated(chunked(rows)).groupBy(F.col("key").alias("_key"), F.col("tag").alias("_tag")).agg(
-        F.collect_list(F.struct("start", "end")).alias("_gone")
-    )
+    with Scratch(docs.sparkSession) as tables:
+        runs = tables.keep(runs_of(chunked(rows)))
+        release(docs.sparkSession)
+        spans = runs.select("key", "tag", "start", "end").unionByName(extensions(rows, runs, tables))
+        marks = checkpoint(
+            spans.groupBy(F.col("key").alias("_key"), F.col("tag").alias("_tag")).agg(
+                F.collect_list(F.struct("start", "end")).alias("_gone")
+            )
+        )
+    release(docs.sparkSession)
     own = docs.columns
     met = rows.join(marks, ["_key", "_tag"], "left").select(*own, "_gone", "_again")
     kinds = docs.schema
@@ -172,7 +290,7 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                 text = value.as_py()
                 data = (text or "").encode()
                 places = [(0, len(data))] if again.as_py() else [(g["start"], g["end"]) for g in gone.as_py() or []]
-                found = spans_left(len(data), places, min_bytes)
+                found = spans_left(data, places, min_bytes)
                 kept, last = [], 0
                 for a, b in found:
                     kept.append(data[last:a])

@@ -108,6 +108,37 @@ def test_chunk_dedup_tells_rows_of_one_id_apart(spark):
         assert len(got) == 1 and got[0]["n_removed"] > 250 and unique in got[0]["text"]
 
 
+def test_chunk_dedup_finds_short_passages_whole(spark):
+    """Passages of 51 to 60 words, each in two documents: found, and removed to their ends."""
+    rows, want = [], {}
+    for k in range(120):
+        passage = prose(1000 + k, 51 + k % 10)
+        rows.append((k, prose(3000 + k, 40) + "<" + passage + ">" + prose(5000 + k, 40)))
+        before, after = prose(7000 + k, 30) + "[", "]" + prose(9000 + k, 30)
+        rows.append((1000 + k, before + passage + after))
+        want[1000 + k] = (before + after, len(passage.encode()))
+    out = {r["doc_id"]: r for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[k]["n_removed"] == 0 for k in range(120))
+    found = [i for i in want if out[i]["n_removed"]]
+    removed = sum(out[i]["n_removed"] for i in want) / sum(n for _, n in want.values())
+    print(f"recall of passages of 51 to 60 words: {len(found)} of {len(want)}, {removed:.4f} of their bytes")
+    assert len(found) >= 0.99 * len(want) and all((out[i]["text"], out[i]["n_removed"]) == want[i] for i in found)
+
+
+def test_chunk_dedup_extends_far_and_to_whole_characters(spark, monkeypatch):
+    """Ends are compared again while all bytes are equal; a character that differs in its last byte stays whole."""
+    monkeypatch.setattr(chunk_dedup, "cuts", lambda text: [60, len(text)] if len(text) > 1500 else [len(text)])
+    shared = prose(60, 300)[:1500]
+    rows = [(1, "A" * 60 + "x" + "é" + shared + "é" + "y" * 9), (2, "B" * 60 + "z" + "è" + shared + "è" + "w" * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["n_removed"] == 0 for r in chunk_dedup.dedup_substrings(docs).collect())  # no chunk is shared: no seed
+    head = prose(62, 5)[:20]
+    monkeypatch.setattr(chunk_dedup, "cuts", lambda text: [a for a in (62, 82) if a < len(text)] + [len(text)])
+    rows = [(i, c * 61 + e + head + shared + tail) for i, c, e, tail in ((1, "A", "1", "é"), (2, "B", "2", "è"))]
+    out = {r["doc_id"]: r["text"] for r in chunk_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == rows[0][1] and out[2] == "B" * 61 + "2è"
+
+
 def test_chunks_find_their_places_again_after_an_insertion():
     text = prose(21, 400).encode()
     moved = b"inserted words " + text
