@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from oligo_engine.llm import (
     chunk_dedup,
     decontamination,
+    filter_audit,
     language_id,
     minhash,
     mixing,
     neighbours,
+    simhash,
     suffix_dedup,
     token_counts,
     toxic_text,
@@ -135,3 +137,57 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_language_id")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.identify(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+
+
+AUDIT_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM words GROUP BY text),
+judged AS (
+  SELECT d.doc_id, d.part,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+          100 * len(regexp_extract_all(d.text, '[A-Z]')) > 3 * length(d.text),
+          regexp_matches(d.text, '[#$%&*|]'), coalesce(d.doc_id > f.first, false)] AS fails,
+         coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic
+  FROM words d JOIN firsts f ON d.text = f.text
+  LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) l
+    ON d.doc_id = l.doc_id),
+orders AS (
+  SELECT '' AS filter_order
+  UNION ALL
+  SELECT filter_order || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)),
+steps AS (
+  SELECT filter_order, step, instr('ABCDE', filter_order[step]) AS own,
+         list_transform(range(1, step), lambda i: instr('ABCDE', filter_order[i])) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step) WHERE length(filter_order) = 5),
+classes AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+seen AS (
+  SELECT c.*, s.filter_order, s.step, s.own, fails[s.own] AS hit,
+         len(list_filter(s.before, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS single
+  FROM classes c, steps s),
+summed AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN hit AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN hit AND single THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM summed
+"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op13_simhash_near_duplicates")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"), words=3, bits=3)
