@@ -14,6 +14,7 @@ from oligo_engine.llm import (
     minhash,
     mixing,
     neighbours,
+    ranked_search,
     simhash,
     suffix_dedup,
     token_counts,
@@ -191,3 +192,33 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_simhash_near_duplicates")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"), words=3, bits=3)
+
+
+SEARCH_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+stated AS (SELECT doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM stated),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+posted AS (
+  SELECT term, doc_id, n, count(*)::BIGINT AS tf
+  FROM (SELECT doc_id, n, unnest(w) AS term FROM stated) SEMI JOIN asked USING (term) GROUP BY term, doc_id, n),
+weighted AS (
+  SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM posted, whole GROUP BY term, nn),
+scored AS (
+  SELECT a.item_id, p.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::BIGINT AS score
+  FROM asked a JOIN posted p USING (term) JOIN weighted USING (term), whole GROUP BY a.item_id, p.doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", SEARCH_SQL)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
