@@ -8,12 +8,13 @@ from oligo_engine import constants as K
 from oligo_engine.catalog import inputs as I, sql as S
 from oligo_engine.catalog.registry import query
 from oligo_engine.catalog.scan_queries import BEAM_SQL, SCORER, _base
-from oligo_engine.catalog.sequence_queries import DESIGN_CTES, _designs
+from oligo_engine.catalog.sequence_queries import DESIGN_CTES, _designs, scratch
 from oligo_engine.functions.labels import efficacy_label
-from oligo_engine.operators import curation, offtarget, toxicity, variants
-from oligo_engine.operators.tiling import tile
+from oligo_engine.operators import curation, kmer_index, offtarget, toxicity, variants
+from oligo_engine.operators.tiling import tile, tile_pieces
 from oligo_engine.plans import beam, screening
 from oligo_engine.plans.scan import score_designs
+from oligo_engine.sources import long_fasta
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,8 +93,8 @@ _SITES = (
 
 def _critical(k: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        index = offtarget.kmer_index(I.transcriptome(spark, sf), k)
-        return offtarget.critical_guides(_candidates(spark, sf), index, k)
+        index = kmer_index.build_index(I.transcriptome(spark, sf), k)
+        return kmer_index.critical_guides(_candidates(spark, sf), index)
 
     return run
 
@@ -111,9 +112,7 @@ for _k in (11, 15):
 )
 def j2_few(spark: SparkSession, sf: str) -> DataFrame:
     """Search for the k-mers of few candidates, without an index of the transcriptome."""
-    guides = I.parents(spark, sf)
-    found = offtarget.matching_kmers(I.transcriptome(spark, sf), offtarget.target_kmers(guides, 11), 11)
-    return offtarget.critical_guides(guides, found, 11)
+    return kmer_index.matching_guides(I.parents(spark, sf), I.transcriptome(spark, sf), 11)
 
 
 @query("j3_seed_site_counts", S.with_(S.TRANSCRIPTS, S.TRANSCRIPTOME, _SITES) + "SELECT site, seed_occurrences FROM counts")
@@ -144,9 +143,8 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
 )
 def j2_exclude(spark: SparkSession, sf: str) -> DataFrame:
     excluded = I.table(spark, sf, "pages").filter(F.col("page_id") % 2 == 0).select(F.col("page_id").alias("record_id"))
-    records = I.transcriptome(spark, sf).join(excluded, "record_id", "left_anti")
-    index = offtarget.kmer_index(records, 11)
-    return offtarget.critical_guides(_candidates(spark, sf), index, 11).agg(F.count(F.lit(1)).alias("guides"))
+    screened = offtarget.screen(_candidates(spark, sf), I.transcriptome(spark, sf), 11, exclude_record_ids=excluded)
+    return screened.filter("has_critical_match").agg(F.countDistinct("antisense").alias("guides"))
 
 
 @query(
@@ -160,6 +158,84 @@ def j6(spark: SparkSession, sf: str) -> DataFrame:
     return curation.without_overlap(fresh, known).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- stored index, long records -----------------------------------------------
+
+
+@query(
+    "j2_j3_stored_index",
+    S.with_(S.TRANSCRIPTS, S.TRANSCRIPTOME, S.TILES, S.PARENTS, _index_sql(15),
+            "guides AS (SELECT 'parents' AS candidates, antisense FROM parents UNION ALL SELECT 'tiles', antisense FROM tiles)",
+            _hits_sql(15, "guides"), _SITES)
+    + "SELECT candidates, count(*) AS n, count(*) FILTER (hits.antisense IS NOT NULL) AS critical, sum(coalesce(seed_occurrences, 0))::BIGINT AS seed_occurrences FROM guides "
+    "LEFT JOIN hits USING (antisense) LEFT JOIN counts ON site = " + S.revcomp("substr(guides.antisense, 2, 6)") + " GROUP BY 1",
+)
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """An index built once, stored, opened again and used for two candidate sets."""
+    path = scratch(spark, "index")
+    kmer_index.build_index(I.transcriptome(spark, sf), path=path)
+    index = kmer_index.open_index(spark, path)
+    sets = {"parents": I.parents(spark, sf).select("antisense"), "tiles": _candidates(spark, sf).select("antisense")}
+    screened = [offtarget.screen(rows, index=index).withColumn("candidates", F.lit(name)) for name, rows in sets.items()]
+    return screened[0].unionByName(screened[1]).groupBy("candidates").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("has_critical_match").alias("critical"), F.sum("seed_occurrences").alias("seed_occurrences")
+    )
+
+
+LINE = 70
+_LONG = (
+    "records AS (SELECT coalesce(source, '') AS record, string_agg(translate(hex(text), '0123456789ABCDEF', 'AUGCAUGCAUGCAUGC'), '' ORDER BY doc_id) AS seq FROM documents GROUP BY 1),\n"
+    "nts AS (SELECT record, length(seq) AS nt, unnest(string_split(seq, '')) AS c, unnest(range(length(seq))) AS i FROM records WHERE seq <> ''),\n"
+)
+
+
+def _long_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, two nucleotides a byte, as one record for each source: millions of
+    nucleotides in lines, written sorted and read as one text."""
+    docs = I.table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("record"), "doc_id", "text")
+    bases = F.translate(F.hex("text"), I.HEX.upper(), I.BASES)
+    lines = docs.select("record", "doc_id", F.posexplode(F.regexp_extract_all(bases, F.lit(f".{{1,{LINE}}}"), F.lit(0))).alias("no", "line"))
+    names = docs.select("record", F.lit(None).cast("bigint").alias("doc_id"), F.lit(-1).alias("no"), F.concat(F.lit(">"), "record").alias("line")).distinct()
+    path = scratch(spark, "long")
+    lines.unionByName(names).orderBy("record", F.col("doc_id").asc_nulls_first(), "no").select("line").write.text(path)
+    return long_fasta.read_pieces(spark, path, one_stream=True)
+
+
+@query(
+    "s1_g1_long_records",
+    S.with_(_LONG + "w AS (SELECT *, concat(c, lead(c) OVER o, lead(c, 2) OVER o) AS tri, lead(c, 20) OVER o AS z FROM nts WINDOW o AS (PARTITION BY record ORDER BY i))")
+    + "SELECT record AS header, count(*) AS tiles, max(i) AS last_position, count(*) FILTER (tri = 'AUG') AS aug, (sum(i) FILTER (tri = 'AUG'))::BIGINT AS aug_positions, "
+    "count(*) FILTER (z IN ('G', 'C')) AS gc_ends FROM w WHERE i <= nt - 21 GROUP BY 1",
+)
+def long_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = _long_pieces(spark, sf).withColumn("record", F.struct("record_no", "header"))
+    tiles = tile_pieces(pieces, "record")
+    aug = F.startswith("sense", F.lit("AUG"))
+    return tiles.groupBy("record").agg(
+        F.count(F.lit(1)).alias("tiles"),
+        F.max("position").alias("last_position"),
+        F.count_if(aug).alias("aug"),
+        F.sum(F.when(aug, F.col("position"))).alias("aug_positions"),
+        F.count_if(F.substring("sense", 21, 1).isin("G", "C")).alias("gc_ends"),
+    ).select("record.header", "tiles", "last_position", "aug", "aug_positions", "gc_ends")
+
+
+@query(
+    "j2_j3_long_records",
+    S.with_(_LONG + "d AS (SELECT record, nt, i, instr('ACGU', c) - 1 AS d FROM nts),\n"
+            "codes AS (SELECT DISTINCT " + " + ".join(f"lead(d, {j}) OVER o * {4 ** (14 - j)}" for j in range(15)) + " AS code FROM d WINDOW o AS (PARTITION BY record ORDER BY i) QUALIFY i <= nt - 15),\n"
+            "six AS (SELECT DISTINCT concat(c, lead(c) OVER o, lead(c, 2) OVER o, lead(c, 3) OVER o, lead(c, 4) OVER o, lead(c, 5) OVER o) AS site FROM nts WINDOW o AS (PARTITION BY record ORDER BY i) QUALIFY i <= nt - 6),\n"
+            "counts AS (SELECT site, sum((nt - length(replace(seq, site, ''))) // 6)::BIGINT AS n FROM six, (SELECT *, length(seq) AS nt FROM records) GROUP BY 1)")
+    + "SELECT site, n FROM counts WHERE n > 0 UNION ALL SELECT 'k-mers', count(*) FROM codes UNION ALL SELECT 'sum of codes', sum(code % 1000003)::BIGINT FROM codes",
+)
+def long_index(spark: SparkSession, sf: str) -> DataFrame:
+    index = kmer_index.build_index(_long_pieces(spark, sf), path=scratch(spark, "index"), key="record_no")
+    kmers = index.kmers.select(F.explode(F.array(
+        F.struct(F.lit("k-mers").alias("site"), F.lit(1).cast("bigint").alias("n")),
+        F.struct(F.lit("sum of codes").alias("site"), (F.col("code") % 1000003).alias("n")),
+    )).alias("x")).groupBy("x.site").agg(F.sum("x.n").alias("n"))
+    return index.seeds.select("site", F.col("seed_occurrences").alias("n")).unionByName(kmers)
+
+
 # --- safety reports -----------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oligo_engine.catalog import inputs as I
-from oligo_engine.operators import offtarget
+from oligo_engine.operators import kmer_index, offtarget
 from oligo_engine.plans.ranking import rank_candidates
 from oligo_engine.plans.scan import scan_modifications
 from oligo_engine.plans.scoring import LinearScorer
@@ -52,13 +52,13 @@ def test_top_n_is_limited_before_the_shuffle(spark, no_small_joins):
 
 def test_critical_screen_is_a_semi_join_of_distinct_kmers(spark, no_small_joins):
     guides = I.parents(spark, SF)
-    text = plan(offtarget.critical_guides(guides, offtarget.kmer_index(I.transcriptome(spark, SF))))
+    text = plan(kmer_index.critical_guides(guides, kmer_index.build_index(I.transcriptome(spark, SF))))
     assert "LeftSemi" in text
 
 
 def test_few_candidates_leave_the_transcriptome_in_place(spark):
-    probe = offtarget.target_kmers(spark.createDataFrame([("A" * 21,)], "antisense string"))
-    text = plan(offtarget.matching_kmers(I.transcriptome(spark, SF), probe))
+    few = spark.createDataFrame([("A" * 21,)], "antisense string")
+    text = plan(kmer_index.matching_guides(few, I.transcriptome(spark, SF)))
     assert "BroadcastHashJoin" in text
 
 

@@ -60,14 +60,13 @@ def test_tile_count_and_order(spark):
     assert not any(r["transcript_id"] == "short" for r in rows)
 
 
-@pytest.mark.parametrize("long_record_nt", [None, 3000])
-def test_windows_cover_long_records_once(spark, long_record_nt):
+def test_windows_cover_long_records_once(spark):
     rng = random.Random(5)
     sizes = [5, 6, 7, tiling.PIECE, tiling.PIECE + 5, tiling.PIECE + 6, 2 * tiling.PIECE + 5, 2 * tiling.PIECE + 7, 9001]
     texts = {n: "".join(rng.choice("ACGU") for _ in range(n)) for n in sizes}
     df = spark.createDataFrame(list(texts.items()), "id int, s string")
     got = {}
-    for r in tiling.windows(df, "s", 7, "w", long_record_nt).collect():
+    for r in tiling.windows(df, "s", 7, "w").collect():
         got.setdefault(r["id"], []).append((r["position"], r["w"]))
     for n, text in texts.items():
         assert sorted(got.get(n, [])) == [(i, text[i : i + 7]) for i in range(n - 6)]
