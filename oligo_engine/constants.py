@@ -251,6 +251,7 @@ CERTIFICATE_FOOTER = (
 GBT_STEP_SIZE = 0.03
 GBT_MAX_DEPTH = 7
 GBT_MAX_ITER = 3000
+GBT_PATIENCE = 100
 GBT_SUBSAMPLING = 0.8
 GBT_FEATURE_FRACTION = "0.6"
 GBT_MIN_INSTANCES = 20
