@@ -155,10 +155,30 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
     doc = readers.taxonomy(spark).agg(F.collect_list(F.struct("*")).alias("modifications")).withColumn("alias_rules", rules)
     doc.coalesce(1).write.json(path)
     _, alias = readers.read_taxonomy(spark, path)
-    mapped = curation.map_names(_names(spark, sf), "name", curation.load_rules(alias))
+    mapped = curation.map_names(_names(spark, sf), "name", alias)
     return mapped.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "j5_many_alias_rules",
+    "WITH rules AS (SELECT i AS rule_no, concat('none', i::VARCHAR, ';') AS match, '!' AS symbol FROM range(5000) t(i) "
+    "UNION ALL SELECT 5000 + s_suppkey, concat('dye ', s_suppkey::VARCHAR), chr((97 + s_suppkey % 26)::INTEGER) FROM supplier), "
+    "names AS (SELECT p_partkey AS id, concat('Dye ', (p_partkey % 150)::VARCHAR, ' cap') AS name FROM part) "
+    "SELECT id, arg_min(symbol, rule_no) AS symbol FROM names LEFT JOIN rules ON contains(lower(name), match) GROUP BY id",
+)
+def j5_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands of rules given at run time; the first that is contained counts."""
+    fixed = spark.range(5000).select(F.col("id").alias("rule_no"), F.concat(F.lit("none"), F.col("id").cast("string"), F.lit(";")).alias("match"), F.lit("!").alias("symbol"))
+    key = F.col("s_suppkey")
+    own = I.table(spark, sf, "supplier").select(
+        (key + 5000).alias("rule_no"), F.concat(F.lit("dye "), key.cast("string")).alias("match"), F.chr((key % 26 + 97).cast("bigint")).alias("symbol")
+    )
+    names = I.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("Dye "), (F.col("p_partkey") % 150).cast("string"), F.lit(" cap")).alias("name")
+    )
+    return curation.map_names(names, "name", fixed.unionByName(own)).select("id", "symbol")
+
+
 # --- cleaning -----------------------------------------------------------------
 
 _DIRTY = (
@@ -526,9 +546,23 @@ def f29(spark: SparkSession, sf: str) -> DataFrame:
     return I.parents(spark, sf).select("parent_id", seq.asymmetry(F.col("sense"), F.col("antisense")).alias("asymmetry"))
 
 
+#: A rising function with a level stretch and values beyond 0-100.
+CALIBRATION = ([-10.0, 0.0, 12.5, 30.0, 55.0, 80.0, 120.0], [-5.0, 4.0, 4.0, 31.0, 60.0, 90.0, 104.0])
+
+
+def _calibrated_sql(x: str) -> str:
+    bounds, values = CALIBRATION
+    parts = "".join(
+        f"WHEN {x} < {bounds[i + 1]}e0 THEN {values[i]}e0 + ({values[i + 1]}e0 - ({values[i]}e0)) * ({x} - ({bounds[i]}e0)) / ({bounds[i + 1]}e0 - ({bounds[i]}e0)) "
+        for i in range(len(bounds) - 1)
+    )
+    return S.clip(f"CASE WHEN {x} <= {bounds[0]}e0 THEN {values[0]}e0 {parts} ELSE {values[-1]}e0 END")
+
+
 @query(
     "f30_a16_normalise",
-    "SELECT c_custkey AS id, " + S.clip("v") + " AS clipped, " + S.rescale("v", "batch") + " AS rescaled FROM "
+    "SELECT c_custkey AS id, " + S.clip("v") + " AS clipped, " + S.rescale("v", "batch") + " AS rescaled, " + S.clip("v") + " AS uncalibrated, "
+    + _calibrated_sql("v") + " AS calibrated FROM "
     "(SELECT c_custkey, c_acctbal / 64e0 - 20e0 AS v, c_custkey // 8 AS batch FROM customer)",
 )
 def f30(spark: SparkSession, sf: str) -> DataFrame:
@@ -538,7 +572,13 @@ def f30(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("c_acctbal") / 64.0 - 20.0).alias("v"),
         F.floor(F.col("c_custkey") / 8).alias("batch"),
     )
-    return rows.select("id", normalise(v, "clip").alias("clipped"), normalise(v, "rescale", ["batch"]).alias("rescaled"))
+    return rows.select(
+        "id",
+        normalise(v, "clip").alias("clipped"),
+        normalise(v, "rescale", ["batch"]).alias("rescaled"),
+        normalise(v, "calibrate").alias("uncalibrated"),
+        normalise(v, "calibrate", points=CALIBRATION).alias("calibrated"),
+    )
 
 
 @query(

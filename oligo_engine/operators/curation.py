@@ -124,20 +124,17 @@ def increment_report(merged: DataFrame) -> DataFrame:
     )
 
 
-def load_rules(rules: DataFrame) -> list[tuple[str, str]]:
-    """Alias rules of a run-time table (rule_no, match, symbol) in rule order.
+def map_names(df: DataFrame, name: str, rules: DataFrame | None = None) -> DataFrame:
+    """Symbol of each modification name, by the built-in rules or a table of them
+    (rule_no, match, symbol): the first whose text the name contains.
 
-    A configuration table: more than 1,000 rules is refused rather than collected.
+    A rule table of any length comes in as one ordered array by a scalar subquery, so
+    names are neither joined nor shuffled.
     """
-    rows = rules.select("match", "symbol", "rule_no").orderBy("rule_no").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1,000 alias rules")
-    return [(r["match"], r["symbol"]) for r in rows]
-
-
-def map_names(df: DataFrame, name: str, rules: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Symbol of each modification name, by the built-in or the given rules."""
-    return df.withColumn("symbol", modification_symbol(F.col(name), rules))
+    if rules is None:
+        return df.withColumn("symbol", modification_symbol(F.col(name)))
+    every = rules.agg(F.sort_array(F.collect_list(F.struct("rule_no", "match", "symbol"))).alias("rules")).scalar()
+    return df.withColumn("_rules", every).withColumn("symbol", modification_symbol(F.col(name), F.col("_rules"))).drop("_rules")
 
 
 def unmapped_frequencies(df: DataFrame, name: str) -> DataFrame:

@@ -8,13 +8,14 @@ biology.
 
 from __future__ import annotations
 
+import json
 from typing import Protocol
 
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from oligo_engine.functions.labels import clip_score, rescale_score
-from oligo_engine.functions.sequence import count_in, count_of
+from oligo_engine.functions.sequence import count_in, count_of, let
 from oligo_engine.operators.features import modified_features, naked_features, with_source_onehot
 
 
@@ -96,8 +97,42 @@ class ModelScorer:
         return scored.withColumn(out, F.col("prediction")).select(*df.columns, out)
 
 
-def normalise(raw: Column, mode: str, batch: list[str] | None = None) -> Column:
-    """Bring raw scores to 0-100: ``identity``/``clip``, or ``rescale`` per batch.
+def calibration_points(model: Model) -> tuple[list[float], list[float]]:
+    """Boundaries and values of a fitted isotonic model."""
+    return [float(x) for x in model.boundaries], [float(x) for x in model.predictions]
+
+
+def calibrated(raw: Column, points: tuple[list[float], list[float]] | None) -> Column:
+    """Value of a rising step function at ``raw``, clipped to 0-100.
+
+    Straight between two boundaries, level beyond the ends; a boundary is found by binary
+    search in one sorted array. Without points raw scores are clipped.
+    """
+    bounds, values = points or ([], [])
+    if not bounds:
+        return clip_score(raw)
+    held = [F.from_json(F.lit(json.dumps(x)), "array<double>") for x in (bounds, values)]  # folded to one literal each
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
+
+    def at(x: Column) -> Column:
+        def further(low: Column, step: Column) -> Column:
+            return F.when((low + step < len(bounds)) & (F.get(held[0], low + step) <= x), low + step).otherwise(low)
+
+        def value(i: Column) -> Column:
+            b, v = (F.get(held[0], i), F.get(held[0], i + 1)), (F.get(held[1], i), F.get(held[1], i + 1))
+            inside = v[0] + (v[1] - v[0]) * (x - b[0]) / (b[1] - b[0])
+            return F.when(x <= bounds[0], F.lit(values[0])).when(x >= bounds[-1], F.lit(values[-1])).otherwise(inside)
+
+        return F.aggregate(steps, F.lit(0), further, value)
+
+    return let(raw, lambda x: F.when(x.isNotNull(), clip_score(at(x))))
+
+
+def normalise(
+    raw: Column, mode: str, batch: list[str] | None = None, points: tuple[list[float], list[float]] | None = None
+) -> Column:
+    """Bring raw scores to 0-100: ``identity``/``clip``, ``rescale`` per batch, or
+    ``calibrate`` by ``points``.
 
     ``batch`` names the key of a batch (one scan or one search round of one parent).
     """
@@ -105,4 +140,6 @@ def normalise(raw: Column, mode: str, batch: list[str] | None = None) -> Column:
         return clip_score(raw)
     if mode == "rescale":
         return rescale_score(raw, F.max(raw).over(W.partitionBy(*(batch or []))))
+    if mode == "calibrate":
+        return calibrated(raw, points)
     raise ValueError(f"unknown mode {mode!r}")

@@ -159,3 +159,17 @@ def test_full_scan_has_1260_distinct_variants(spark, parents):
     assert scan.filter(totals != F.col("nuclease") + F.col("risc")).count() == 0
     mini = scan_modifications(parents, LinearScorer(), seeds)
     assert mini.count() == 4 * 40
+
+
+def test_given_singles_count_with_their_better_row_in_any_order(spark):
+    """Parents of one duplex bring the same single with two scores."""
+    parents = spark.createDataFrame([(i, s, revcomp(s)) for i, s in PARENTS], "parent_id string, sense string, antisense string")
+    scan = scan_modifications(parents, LinearScorer(), spark.createDataFrame([], "seed string, viability double"))
+    singles = scan.select("parent_id", *beam.PARENT, "sense", "antisense", *[c for c in beam.TRACK if c in scan.columns and c not in ("sense", "antisense")], "efficacy_score").persist()
+    worse = singles.withColumn("efficacy_score", F.col("efficacy_score") / 2)
+    found = []
+    for rows in (singles.unionByName(worse), worse.unionByName(singles), singles):
+        out = beam.beam_search(parents, LinearScorer(), max_mods=2, beam_width=5, singles=rows)
+        found.append(sorted((r["parent_id"], r["sense"], r["antisense"], r["efficacy_score"], r["rank"]) for r in out.collect()))
+    singles.unpersist()
+    assert found[0] == found[1] == found[2] and found[0]

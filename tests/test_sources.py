@@ -66,7 +66,14 @@ def test_taxonomy(spark, tmp_path):
     assert canonical.count() == 5 and modifications.count() == 30
     assert symbols.filter("symbol = '9'").collect()[0]["binary"] == "100011"
     assert readers.alias_rules(spark).count() == len(K.ALIAS_RULES) == 31
-    assert curation.load_rules(readers.alias_rules(spark)) == K.ALIAS_RULES
+    names = spark.createDataFrame([("2'-O-Methyluridine",), ("locked nucleic acid",), ("none",), (None,), ("A",)], "name string")
+    built_in, given = (
+        {r["name"]: r["symbol"] for r in curation.map_names(names, "name", rules).collect()} for rules in (None, readers.alias_rules(spark))
+    )
+    assert built_in == given and given["2'-O-Methyluridine"] == "M" and given["none"] is None
+    order = spark.createDataFrame([(2, "acid", "y"), (1, "nucleic", "x"), (0, "zzz", "z")], "rule_no int, match string, symbol string")
+    assert [r["symbol"] for r in curation.map_names(names, "name", order).collect()] == [None, "x", None, "", ""]
+    assert [r["symbol"] for r in curation.map_names(names, "name", order.limit(0)).collect()] == [None, None, None, "", ""]
 
 
 def test_alias_order_matters(spark):
