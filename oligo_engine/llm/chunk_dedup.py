@@ -106,7 +106,8 @@ def told_apart(docs: DataFrame) -> DataFrame:
 
 
 def chunked(rows: DataFrame) -> DataFrame:
-    """key, tag, doc_id, start, end, digest of every chunk; rows that come again have none."""
+    """key, tag, doc_id, start, end, digest and its first 64 bits (head) of every chunk;
+    rows that come again have none."""
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,30 +127,39 @@ def chunked(rows: DataFrame) -> DataFrame:
                     pa.array(starts, pa.int32()),
                     pa.array(ends, pa.int32()),
                     pa.array(digests, pa.binary()),
+                    pa.array(np.frombuffer(b"".join(digests), "<i8")[::2]),
                 ],
-                ["key", "tag", "doc_id", "start", "end", "digest"],
+                ["key", "tag", "doc_id", "start", "end", "digest", "head"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     once = rows.filter("NOT _again").select("_key", "_tag", "doc_id", "text")
-    return map_arrow(once, chunk, f"key long, tag int, doc_id {kind}, start int, end int, digest binary")
+    return map_arrow(once, chunk, f"key long, tag int, doc_id {kind}, start int, end int, digest binary, head long")
 
 
-def repeated(chunks: DataFrame) -> DataFrame:
+def repeated(chunks: DataFrame, tables: Scratch) -> DataFrame:
     """key, tag, start, end of the chunks that are not the first of their digest, and the
-    place of that: first_key, first_tag, first_at."""
+    place of that: first_key, first_tag, first_at.
+
+    Most chunks stand alone. Counts of 64 bits of the digest name those that may not, and
+    only their rows are kept and compared by the whole digest.
+    """
+    heads = tables.keep(chunks.groupBy("head").agg(F.count("*").alias("_n")).filter("_n > 1").select("head"))
+    release(chunks.sparkSession)
+    met = tables.keep(chunks.join(heads, "head", "left_semi").drop("head"))
+    release(chunks.sparkSession)
     place = F.struct(
         F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), "key", "tag", F.col("start").alias("at")
     )
-    firsts = chunks.groupBy("digest").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    met = chunks.join(firsts.drop("_n"), "digest").filter(~place.eqNullSafe(F.col("_first")))
-    return met.select("key", "tag", "start", "end", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in ("key", "tag", "at")])
+    firsts = met.groupBy("digest").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    again = met.join(firsts.drop("_n"), "digest").filter(~place.eqNullSafe(F.col("_first")))
+    return again.select("key", "tag", "start", "end", *[F.col(f"_first.{c}").alias(f"first_{c}") for c in ("key", "tag", "at")])
 
 
 RUNS = "key long, tag int, start int, end int, first_key long, first_tag int, first_at int"
 
 
-def runs_of(chunks: DataFrame) -> DataFrame:
+def runs_of(chunks: DataFrame, tables: Scratch) -> DataFrame:
     """Repeated chunks that follow each other here and at their first occurrence, as one."""
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +179,7 @@ def runs_of(chunks: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in RUNS.split(", ")])
 
     seeds = F.array_sort(F.collect_list(F.struct("start", "end", "first_key", "first_tag", "first_at")))
-    return map_arrow(repeated(chunks).groupBy("key", "tag").agg(seeds.alias("seeds")), join_up, RUNS)
+    return map_arrow(repeated(chunks, tables).groupBy("key", "tag").agg(seeds.alias("seeds")), join_up, RUNS)
 
 
 def bytes_beside(rows: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
@@ -269,7 +279,7 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """
     rows = told_apart(docs)
     with Scratch(docs.sparkSession) as tables:
-        runs = tables.keep(runs_of(chunked(rows)))
+        runs = tables.keep(runs_of(chunked(rows), tables))
         release(docs.sparkSession)
         spans = runs.select("key", "tag", "start", "end").unionByName(extensions(rows, runs, tables))
         marks = checkpoint(
