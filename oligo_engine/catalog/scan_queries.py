@@ -363,14 +363,14 @@ def w5(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q10_rerank_by_potential",
     S.with_(S.TRANSCRIPTS, S.TILES, _NAKED, _RANKED,
-            "parents AS (SELECT transcript_id * 1000 + position AS parent_id, sense, antisense, rank AS naked_rank, score FROM ranked WHERE rank <= 3)",
+            "parents AS (SELECT transcript_id * 1000 + position AS parent_id, sense, antisense, rank AS naked_rank, score FROM ranked WHERE rank <= 50)",
             S.scan("parents", "v", *S.MINI), S.penalised("v", "pen"), f"norm AS (SELECT *, {S.rescale('raw', 'parent_id')} AS norm_score FROM pen)",
             f"best AS (SELECT parent_id, max({S.adjusted('norm_score')}) AS best_modified FROM norm GROUP BY 1)",
             "final AS (SELECT parent_id // 1000 AS transcript_id, (parent_id % 1000)::INTEGER AS position, naked_rank::INTEGER AS naked_rank, score AS naked_score, best_modified FROM best JOIN parents USING (parent_id))")
-    + "SELECT transcript_id, position, naked_rank, naked_score, best_modified, rank FROM (SELECT *, (row_number() OVER (PARTITION BY transcript_id ORDER BY best_modified DESC, naked_rank))::INTEGER AS rank FROM final) WHERE rank <= 2",
+    + "SELECT transcript_id, position, naked_rank, naked_score, best_modified, rank FROM (SELECT *, (row_number() OVER (PARTITION BY transcript_id ORDER BY best_modified DESC, naked_rank))::INTEGER AS rank FROM final) WHERE rank <= 20",
 )
 def q10(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.rerank_by_potential(I.transcripts(spark, sf), SCORER, pool=3, top_n=2)
+    return ranking.rerank_by_potential(I.transcripts(spark, sf), SCORER)
 
 
 # --- beam search --------------------------------------------------------------
