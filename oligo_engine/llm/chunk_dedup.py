@@ -272,11 +272,13 @@ def spans_left(data: bytes, gone: list[tuple[int, int]], min_bytes: int) -> list
 
 
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """All columns of ``docs`` with ``text`` shortened, and n_bytes, n_removed, n_spans.
+    """All columns of ``docs`` with ``text`` shortened, and n_bytes, n_removed, n_spans, in
+    place of any of ``docs`` that have these names.
 
     Marks are gathered by row, so they are as many as its chunks at most; a row equal to
     another in id and text goes whole where it is long enough.
     """
+    docs = docs.drop("n_bytes", "n_removed", "n_spans")
     rows = told_apart(docs)
     with Scratch(docs.sparkSession) as tables:
         runs = tables.keep(runs_of(chunked(rows), tables))

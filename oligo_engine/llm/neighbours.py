@@ -4,17 +4,20 @@ The trees are grown on a bounded sample (``SAMPLE`` vectors, smallest hashes of
 ids): every node splits at the median of a random projection. All vectors are routed to
 one leaf per tree. A query walks all trees through one shared priority queue, ordered by
 the squared distance to the half-spaces it would have to cross, until the leaves met hold
-``visit`` times as many vectors as there are; their vectors are then scored exactly, in
-double precision.
-
-Leaves are scored in blocks, candidates by at most about ``BLOCK`` and queries by
-``QUERIES``, so no leaf has to fit a task. Equal vectors are one candidate that stands
-for its smallest ids, as many as a result can use; so copies, however many, fill no leaf.
-
-Defined results: null and zero vectors, vectors with null or non-finite components, with
-a null id, or of another length than most take no part, neither as queries nor as
-candidates; rows of one id are never neighbours of each other; fewer candidates than ``k``
-give fewer rows; an empty table gives no rows. Further columns are ignored.
+``visit`` times as many vectors as there are and those of one tree more than ``k`` different
+ones (or all there are); their vectors are then scored exactly, in double precision.
+
+Leaves are scored in blocks, candidates by at most about ``BLOCK`` and queries by about
+``ASKED``, dealt out by hashes of their ids, so neither a leaf nor the queries that meet it
+have to fit a task. Equal vectors are one candidate that stands for its smallest ids, as
+many as a result can use; so copies, however many, fill no leaf. Vectors are scaled by a
+power of two, which leaves cosines as they are and squares within the range of doubles.
+
+Defined results: null and zero vectors, vectors with null or non-finite components or with
+a null id take no part, neither as queries nor as candidates; vectors of each length are
+searched among their own, with a forest for each length; rows of one id are never
+neighbours of each other; fewer candidates than ``k`` give fewer rows; an empty table gives
+no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from oligo_engine.llm.common import checkpoint
+from oligo_engine.llm.common import checkpoint, list_column
 
 TREES, DEPTH, SAMPLE = 4, 6, 8192
-BLOCK, QUERIES = 4096, 512
+BLOCK, QUERIES, ASKED = 4096, 512, 8192
 
 
 def grow(sample: np.ndarray, trees: int, depth: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -58,16 +61,19 @@ def route(unit: np.ndarray, directions: np.ndarray, thresholds: np.ndarray) -> n
     return node - len(thresholds)
 
 
-def walk(unit: np.ndarray, forest, sizes: dict[tuple[int, int], int], enough: float) -> list[tuple[int, int]]:
-    """Leaves (tree, leaf) of one query, nearest first over all trees, until they hold enough."""
+def walk(unit: np.ndarray, forest, sizes: dict[tuple[int, int], int], enough: float, least: int) -> list[tuple[int, int]]:
+    """Leaves (tree, leaf) of one query, nearest first over all trees, until they hold enough,
+    and those of one tree, which share no vector, at least ``least``."""
     sides = [d @ unit - t for d, t in forest]
     queue, found, held = [(0.0, tree, 0) for tree in range(len(forest))], [], 0
-    while queue and held < enough:
+    own = [0] * len(forest)
+    while queue and (held < enough or max(own) < least):
         cost, tree, node = heapq.heappop(queue)
         inner = len(sides[tree])
         if node >= inner:
             found.append((tree, node - inner))
-            held += sizes.get(found[-1], 0)
+            met = sizes.get(found[-1], 0)
+            held, own[tree] = held + met, own[tree] + met
             continue
         side = sides[tree][node]
         near = 2 * node + 1 + (side > 0)
@@ -77,15 +83,15 @@ def walk(unit: np.ndarray, forest, sizes: dict[tuple[int, int], int], enough: fl
 
 
 def matrix_of(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(usable rows, their vectors as doubles)."""
+    """(usable rows, their vectors as doubles, the largest component between 1/2 and 1)."""
     rows, vectors = [], []
     for i, value in enumerate(column.to_pylist()):
         if value is not None and len(value) == dims and None not in value:
             vector = np.array(value, np.float64)
-            length = float(vector @ vector)
-            if np.isfinite(length) and length > 0:
+            largest = float(np.abs(vector).max(initial=0.0))
+            if np.isfinite(largest) and largest > 0:  # a NaN is the maximum of its vector
                 rows.append(i)
-                vectors.append(vector)
+                vectors.append(np.ldexp(vector, -int(np.frexp(largest)[1])))
     return np.array(rows, np.int64), np.array(vectors).reshape(len(rows), dims)
 
 
@@ -125,15 +131,37 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score. ``vectors`` has vec_id and embedding."""
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter(
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks")).filter(
         "vec_id IS NOT NULL AND embedding IS NOT NULL"
     )
-    usual = rows.groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
-    dims = usual["dims"] if usual else 0
+    lengths = (
+        rows.filter(F.size("embedding") > 0)
+        .groupBy(F.size("embedding").alias("dims"))
+        .agg(F.count_if("asks").alias("asked"))
+        .filter("asked > 0")
+        .orderBy("dims")
+        .collect()
+    )
+    met = spark.createDataFrame([], "query_id long, score double, ids array<long>")
+    for dims, asked in lengths:
+        met = met.unionByName(_met(rows.filter(F.size("embedding") == dims), dims, asked, k, visit, trees, depth, seed))
+    pairs = (
+        met.select("query_id", "score", F.explode("ids").alias("vec_id"))
+        .filter(F.col("vec_id") != F.col("query_id"))
+        .groupBy("query_id", "vec_id")
+        .agg(F.max("score").alias("score"))
+    )
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _met(rows: DataFrame, dims: int, n_queries: int, k: int, visit: float, trees: int, depth: int, seed: int) -> DataFrame:
+    """query_id, score, ids: the best k + 1 vectors of every block of leaves a query meets.
+    ``rows`` has vec_id, embedding (``dims`` long) and asks, true in ``n_queries`` rows."""
+    spark = rows.sparkSession
     copies = W.partitionBy("embedding").orderBy("vec_id")
     distinct = checkpoint(
-        rows.filter(F.size("embedding") == dims)
-        .withColumn("_n", F.row_number().over(copies))
+        rows.withColumn("_n", F.row_number().over(copies))
         .filter(F.col("_n") <= k + 1)
         .groupBy("embedding")
         .agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
@@ -143,7 +171,7 @@ def nearest(
     taken = [matrix_of(chunk, dims)[1] for chunk in sample.column(0).chunks]
     units = np.concatenate(taken) if taken else np.zeros((0, dims))
     if not len(units):
-        units = np.zeros((1, max(dims, 1)))
+        units = np.zeros((1, dims))
     else:
         units = units / np.linalg.norm(units, axis=1, keepdims=True)
     forest = spark.sparkContext.broadcast(grow(units, trees, depth, seed))
@@ -154,10 +182,10 @@ def nearest(
             if not len(rows):
                 continue
             unit = found / np.linalg.norm(found, axis=1, keepdims=True)
-            kept = batch.take(pa.array(rows))
+            kept, scaled = batch.take(pa.array(rows)), list_column(found.ravel(), np.full(len(rows), dims))
             for tree, (directions, thresholds) in enumerate(forest.value):
                 yield pa.record_batch(
-                    [pa.array(np.full(len(rows), tree), pa.int32()), pa.array(route(unit, directions, thresholds), pa.int32()), kept.column(0), kept.column(1), kept.column(2)],
+                    [pa.array(np.full(len(rows), tree), pa.int32()), pa.array(route(unit, directions, thresholds), pa.int32()), kept.column(0), kept.column(1), scaled],
                     ["tree", "leaf", "id", "ids", "embedding"],
                 )
 
@@ -170,19 +198,22 @@ def nearest(
         for batch in batches:
             rows, found = matrix_of(batch.column(1), dims)
             for i, vector in zip(rows.tolist(), found):
-                leaves = walk(vector / np.linalg.norm(vector), forest.value, held, visit * total)
+                leaves = walk(vector / np.linalg.norm(vector), forest.value, held, visit * total, min(total, k + 1))
                 met = [(t, leaf, b) for t, leaf in leaves for b in range(blocks.get((t, leaf), 0))]
                 yield pa.RecordBatch.from_pylist(
                     [{"tree": t, "leaf": leaf, "block": b, "query_id": batch.column(0)[i].as_py(), "query": vector.tolist()} for t, leaf, b in met],
                     pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("block", pa.int32()), ("query_id", pa.int64()), ("query", pa.list_(pa.float64()))]),
                 )
 
-    probes = rows.filter(is_query & (F.size("embedding") == dims)).mapInArrow(
+    parts = -(-n_queries // ASKED)
+    probes = rows.filter("asks").select("vec_id", "embedding").mapInArrow(
         probe, "tree int, leaf int, block int, query_id long, query array<double>"
-    )
+    ).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)))
     count = F.create_map(*[x for (t, leaf), n in blocks.items() for x in (F.lit(t * 2**depth + leaf), F.lit(n))]) if blocks else F.create_map(F.lit(-1), F.lit(1))
     many = count[F.col("tree") * F.lit(2**depth) + F.col("leaf")]
-    filled = index.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int"))
+    filled = index.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "score": [], "ids": []}
@@ -199,13 +230,5 @@ def nearest(
                     out["ids"] += [lists[j] for j in at.tolist()]
         return pa.table(out, pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))]))
 
-    keys = ["tree", "leaf", "block"]
-    met = filled.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(score, "query_id long, score double, ids array<long>")
-    pairs = (
-        met.select("query_id", "score", F.explode("ids").alias("vec_id"))
-        .filter(F.col("vec_id") != F.col("query_id"))
-        .groupBy("query_id", "vec_id")
-        .agg(F.max("score").alias("score"))
-    )
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    keys = ["tree", "leaf", "block", "part"]
+    return filled.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(score, "query_id long, score double, ids array<long>")

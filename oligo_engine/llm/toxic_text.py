@@ -9,11 +9,14 @@ phrases cover matches inside them. A logistic curve over the matched weight and
 per word gives the score.
 
 The learning sample is at most ``sample_rows`` labelled documents, those with the smallest
-hashes of their ids; candidate terms are counted in Spark. Scoring reads every whole text.
+hashes of their ids; candidate terms are counted in Spark. A term needs four toxic documents
+of the sample, more than clean ones, and the ``MAX_TERMS`` that tell most (toxic documents
+times weight) are learned, which bounds what is broadcast. Scoring reads every whole text.
 
 Defined results: a null, empty or wordless text matches nothing and gets the curve's lowest
 score; ids may be null or repeat (labels of one id: the largest); without labels the base
-lexicon decides; further columns are ignored unless carried; an empty table gives no rows.
+lexicon decides; an empty table gives no rows. Further columns are carried; ``held_out``,
+``score`` and ``predicted`` are the operator's own and take the place of columns so named.
 """
 
 from __future__ import annotations
@@ -205,7 +208,9 @@ def toxicity(
     sample_rows: int = 20_000,
     exceptions: Sequence[str] = EXCEPTIONS,
 ) -> DataFrame:
-    """All columns of ``docs`` and held_out, score, predicted."""
+    """All columns of ``docs`` and held_out, score, predicted, in place of any of ``docs``
+    that have these names."""
+    docs = docs.drop("held_out", "score", "predicted")
     lexicon, curve = learn(docs, labels, sample_rows, exceptions)
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, curve))
     own = docs.columns

@@ -6,10 +6,11 @@ extra field; files are rolled at ``maxFileBytes`` and named by task attempt, and
 those that a commit lists in the manifest belong to the archive, so lost and repeated
 tasks leave nothing behind in the data.
 
-The reader plans one partition per file. It inflates a record's headers first; filters
-on the header columns are pushed down and judged there, and a record that they refuse, or
-whose payload is not asked for (``payload`` = ``false``), is skipped by seeking over the
-rest of its member. Archives of others, plain or gzip without ``sl``, are read too.
+The reader plans one partition per file. It inflates a record's headers first, little by
+little; filters on the header columns are pushed down and judged there, and a record that
+they refuse, or whose payload is not asked for (``payload`` = ``false``), is skipped by
+seeking over the rest of its member. Archives of others, plain or gzip without ``sl``, are
+read too. Page ids are percent-encoded in headers, so any text comes back as it was.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -52,6 +54,8 @@ HEADERS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "manifest-"
+#: Bytes that one step of reading inflates to at most.
+STEP = 1 << 16
 
 
 def file_system(path: str):
@@ -92,10 +96,10 @@ def record(row: dict) -> bytes:
         f"X-Payload-Length: {len(payload)}",
     ]
     if row["page_id"] is not None:
-        lines.append(f"X-Page-ID: {row['page_id']}")
+        lines.append(f"X-Page-ID: {quote(str(row['page_id']), safe='')}")
     block = b""
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-ID: {row['refers_to']}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page-ID: {quote(str(row['refers_to']), safe='')}"]
     else:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -112,6 +116,8 @@ def parsed_headers(head: bytes) -> dict[str, str]:
 
 def header_columns(headers: dict[str, str]) -> dict:
     found = {c: headers.get(h) for c, h in HEADERS.items()}
+    for name in ("page_id", "refers_to"):
+        found[name] = None if found[name] is None else unquote(found[name])
     found["payload_bytes"] = int(found["payload_bytes"]) if found["payload_bytes"] else None
     found["payload_digest"] = (found["payload_digest"] or "").partition(":")[2] or found["payload_digest"]
     return found
@@ -135,16 +141,19 @@ def records(file, size: int, wanted, payload: bool) -> Iterator[dict]:
             if start[12:14] == b"sl" and extra >= 12:
                 (length,) = struct.unpack_from("<I", start, 16)
         opened = zlib.decompressobj(31) if packed else None
-        text = opened.decompress(start) if packed else start
+        text = opened.decompress(start, 1 << 12) if packed else start
         read = len(start)
 
         def more() -> bytes:
             nonlocal read
-            raw = file.read(1 << 16)
-            read += len(raw)
+            raw = opened.unconsumed_tail if packed else b""
             if not raw:
+                raw = file.read(STEP)
+                read += len(raw)
+            text = opened.decompress(raw, STEP) if packed else raw
+            if not raw and not text and not (packed and opened.eof):
                 raise EOFError("an archive ends within a record")
-            return opened.decompress(raw) if packed else raw
+            return text
 
         while b"\r\n\r\n" not in text:
             text += more()
@@ -335,26 +344,37 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     )
 
 
+def read_back(spark, path: str, kind) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of an archive's pages.
+
+    Length and digest are those of the payload that a response holds; a revisit holds none
+    and is told by its headers. ``kind`` is the type of page ids.
+    """
+    read = spark.read.format("warc").load(path).filter(F.col("record_type").isin("response", "revisit"))
+    holds = F.col("record_type") == "response"
+    return read.select(
+        F.col("page_id").cast(kind).alias("page_id"),
+        F.when(holds, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(holds, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 def archived(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from
-    archives written for ``pages`` (which are deleted after that)."""
+    archives written for ``pages`` (which are deleted after that).
+
+    Rows that repeat an id are records of their own; null ids come back as null. Further
+    columns, of whatever name, are not archived.
+    """
     spark = pages.sparkSession
     register(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     kind = pages.schema["page_id"].dataType
     try:
         with_revisits(pages, least).write.format("warc").mode("append").save(path)
-        read = spark.read.format("warc").option("payload", "false").load(path)
-        read = read.filter(F.col("record_type").isin("response", "revisit"))
-        return checkpoint(
-            read.select(
-                F.col("page_id").cast(kind).alias("page_id"),
-                "payload_bytes",
-                "payload_digest",
-                "record_type",
-                F.col("refers_to").cast(kind).alias("refers_to"),
-            )
-        )
+        return checkpoint(read_back(spark, path, kind))
     finally:
         system, root = file_system(path)
         from pyarrow import fs

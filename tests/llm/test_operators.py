@@ -80,7 +80,7 @@ def test_suffix_dedup_matches_window_counts(docs, empty, group):
 
 
 def test_chunk_dedup_keeps_the_first_of_every_passage(docs, empty):
-    out = chunk_dedup.dedup_substrings(docs)
+    out = chunk_dedup.dedup_substrings(docs.withColumns({"n_bytes": F.lit("x"), "n_spans": F.lit(-1)}))
     assert out.columns == [*docs.columns, "n_bytes", "n_removed", "n_spans"]
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == got[2]["n_bytes"] and got[2]["text"] == ""
@@ -218,8 +218,9 @@ def test_toxicity_folds_and_learns(spark, docs, empty):
     rows = spark.createDataFrame([(i, prose(i, 30) + (" zarkling" if i % 2 else "")) for i in range(60)], "doc_id long, text string")
     got = {r["doc_id"]: r["predicted"] for r in toxic_text.toxicity(rows, labels).collect()}
     assert got == {i: i % 2 for i in range(60)}
-    assert toxic_text.toxicity(docs.drop("score"), labels).count() == len(texts())
-    assert toxic_text.toxicity(empty.drop("score"), labels.limit(0)).count() == 0
+    judged = toxic_text.toxicity(docs, labels)
+    assert judged.columns.count("score") == 1 and all(0 <= r["score"] <= 1 for r in judged.collect()) and judged.count() == len(texts())
+    assert toxic_text.toxicity(empty, labels.limit(0)).count() == 0
 
 
 def test_mixing_meets_its_targets(docs, empty):
@@ -247,6 +248,48 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
     assert [bytes(r["payload"]).decode() for r in read.collect()] == [page]
 
 
+def test_warc_ids_of_any_text_come_back(spark):
+    ids = ["b\r\nX-Payload-Length: 7", " a ", "a", "", "%41", "é\n", None]
+    page = "<html>" + "payload " * 40
+    df = spark.createDataFrame([(i, "u", page, "x") for i in ids], "page_id string, url string, html string, payload_bytes string")
+    got = warc.archived(df).collect()
+    assert sorted(map(str, (r["page_id"] for r in got))) == sorted(map(str, ids))
+    assert all(r["payload_bytes"] == len(page) and r["refers_to"] == (None if r["page_id"] == "" else "") for r in got)
+
+
+def test_warc_length_and_digest_are_those_of_the_stored_payload(spark, tmp_path):
+    """One byte of a stored payload is changed: the row changes with it, whatever the headers say."""
+    page = "payload " * 40
+    digest = hashlib.sha256(page.encode()).hexdigest()
+    rows = [(1, "response", None), (2, "revisit", 1)]
+    archive = b"".join(
+        warc.record({"page_id": i, "url": "u", "payload": page, "payload_digest": digest, "record_type": kind, "refers_to": first})
+        for i, kind, first in rows
+    )
+    at = archive.index(b"payload payload")
+    warc.register(spark)
+    for name, stored, want in (("whole", archive, page), ("changed", archive[:at] + b"q" + archive[at + 1 :], "q" + page[1:])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(stored)
+        got = {r["page_id"]: r for r in warc.read_back(spark, str(tmp_path / name), "long").collect()}
+        assert got[1]["payload_digest"] == hashlib.sha256(want.encode()).hexdigest() and got[1]["payload_bytes"] == len(want)
+        assert got[2]["payload_digest"] == digest and got[2]["payload_bytes"] == len(page) and got[2]["refers_to"] == 1
+
+
+@pytest.mark.parametrize("payload", [True, False])
+def test_warc_inflates_little_by_little(payload):
+    """Payloads that shrink a thousandfold, between small ones, with and without ``sl``."""
+    import gzip
+    import io
+
+    pages = ["a", "b" * 3_000_000, "", "c" * 100_000, "d"]
+    made = [warc.record({"page_id": k, "url": "u", "payload": p, "payload_digest": "d", "record_type": "response", "refers_to": None}) for k, p in enumerate(pages)]
+    for packed in (b"".join(warc.member(m, 9) for m in made), b"".join(gzip.compress(m) for m in made), b"".join(made)):
+        found = list(warc.records(io.BytesIO(packed), len(packed), lambda f: True, payload))
+        assert [f["page_id"] for f in found] == ["0", "1", "2", "3", "4"]
+        assert not payload or [f["payload"].decode() for f in found] == pages
+
+
 def test_warc_reads_plain_and_foreign_gzip_members():
     import gzip
     import io
@@ -278,6 +321,47 @@ def test_nearest_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def exact_neighbours(vectors, queries, k):
+    """Brute force over finite vectors that are not zero, each length among its own."""
+    want = {}
+    for q, asked in vectors:
+        if q in queries and len(asked) > 0 and any(asked):
+            near = []
+            for i, other in vectors:
+                if i != q and len(other) == len(asked) and any(other):
+                    a, b = (np.array(v) / max(map(abs, v)) for v in (asked, other))
+                    near.append((-round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 12), i))
+            want[q] = [i for _, i in sorted(near)[:k]]
+    return {q: ids for q, ids in want.items() if ids}
+
+
+@pytest.mark.parametrize("distinct", [1, 2, 4, 6, 10])
+def test_neighbours_of_few_different_vectors_are_complete(spark, distinct):
+    source = np.random.default_rng(distinct)
+    shapes = source.standard_normal((distinct, 8)).tolist()
+    vectors = [(i, shapes[(i * i) % distinct]) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == exact_neighbours(vectors, {0, 20, 40}, 5)
+
+
+def test_neighbours_of_extreme_and_unlike_vectors(spark, monkeypatch):
+    """Components whose squares leave the range of doubles, two lengths, several parts of queries."""
+    monkeypatch.setattr(neighbours, "ASKED", 3)
+    source = np.random.default_rng(5)
+    shapes = source.standard_normal((40, 8))
+    vectors = [(i, (shapes[i] * (1e-200, 1e200, 1.0, 5e-310)[i % 4]).tolist()) for i in range(40)]
+    vectors += [(100 + i, source.standard_normal(3).tolist()) for i in range(7)] + [(200, [0.0] * 8), (201, []), (202, [1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(neighbours.nearest(df, F.col("vec_id") % 2 == 0, visit=4).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    tiny = {i for i in range(40) if i % 4 == 3}  # subnormal: few digits, told apart by them alone
+    assert got == exact_neighbours(vectors, {i for i, _ in vectors if i % 2 == 0}, 5) and tiny & set(sum(got.values(), []))
+
+
 def test_language_id(docs, spark, empty):
     rows = [(i, ("the and of to in is " if i % 2 else "der und die das ist zu ") * (3 + i % 7), "en" if i % 2 else "de") for i in range(80)]
     rows += [(100, None, "en"), (101, "123 ...", "en"), (102, "the and", None)]
