@@ -24,6 +24,28 @@ def scratch(spark: SparkSession, name: str) -> str:
 # --- sources and sinks --------------------------------------------------------
 
 
+@query(
+    "s2_first_records",
+    "SELECT file, length(seq)::BIGINT AS nt, md5(seq) AS digest FROM (SELECT doc_id // 64 AS file, arg_min(translate(hex(coalesce(text, '')), '0123456789ABCDEF', 'AUGCAUGCAUGCAUGC'), doc_id) AS seq "
+    "FROM documents WHERE doc_id IS NOT NULL GROUP BY 1)",
+)
+def s2_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, two nucleotides a byte, as FASTA files of 64 records; the first of each."""
+    docs = I.table(spark, sf, "documents").filter("doc_id IS NOT NULL")
+    bases = F.translate(F.hex(F.coalesce("text", F.lit(""))), I.HEX.upper(), I.BASES)
+    lines = F.regexp_replace(bases, "(.{70})", "$1\n")
+    records = docs.select(F.floor(F.col("doc_id") / 64).alias("file"), "doc_id", F.concat(F.lit(">doc "), F.col("doc_id"), F.lit("\n"), lines).alias("value"))
+    path = scratch(spark, "firsts")
+    records.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(path)
+    read = readers.read_sequences(spark, path)
+    sequence = F.regexp_replace("sequence", r"\s+", "")
+    return read.select(
+        F.regexp_extract("transcript_id", "file=([0-9]+)/", 1).cast("bigint").alias("file"),
+        F.length(sequence).cast("bigint").alias("nt"),
+        F.md5(sequence).alias("digest"),
+    )
+
+
 @query(
     "s1_fasta_scan",
     S.with_(S.TRANSCRIPTS, S.TRANSCRIPTOME)

@@ -67,30 +67,40 @@ def with_running_total(
     )
     within = W.partitionBy("_range", *keys).orderBy(*order_by).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = ranged.withColumn("_local", F.sum("_weight").over(within) - F.col("_weight"))
-    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    if not group_by:
-        before = W.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
-    totals = (
-        ranged.groupBy("_range", *keys)
-        .agg(F.sum("_weight").alias("_total"))
-        .withColumn("_offset", F.sum("_total").over(before) - F.col("_total"))
-        .drop("_total")
-    )
-    same = F.col("l._range") == F.col("t._range")
-    for c in group_by:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"t.{c}"))
-    return (
-        local.alias("l")
-        .join(totals.alias("t"), same)
-        .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_local") + F.col("_offset")).alias(name))
-    )
+    totals = _offsets(ranged.groupBy("_range", *keys).agg(F.sum("_weight").alias("_total")), group_by, F.lit(0))
+    return _placed(local, totals, df.columns, group_by, F.col("_local") + F.col("_offset"), name)
 
 
 def with_row_index(
     df: DataFrame, group_by: list[str], order_by: list[Column], name: str = "row_index"
 ) -> DataFrame:
-    """0-based position inside the group in the given (total) order."""
-    return with_running_total(df, group_by, order_by, F.lit(1).cast("bigint"), name)
+    """0-based position inside the group in the given (total) order.
+
+    A sorted row's number tells its range partition and its place there, and a group's
+    rows stand together, so positions need no window and rows move once, for the sort.
+    """
+    keys = [F.col(c) for c in group_by]
+    ranged = materialise(df.orderBy(*keys, *order_by).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
+    counted = ranged.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_total"), F.min("_at").alias("_first"))
+    totals = _offsets(counted, group_by, F.col("_first"))
+    return _placed(ranged, totals, df.columns, group_by, F.col("_at") + F.col("_offset"), name)
+
+
+def _offsets(counted: DataFrame, group_by: list[str], less: Column) -> DataFrame:
+    """_range, the keys and _offset: the totals of a group's ranges before this one, ``less``
+    subtracted. Written down, so that the join with it is planned on its measured size."""
+    keys = [F.col(c) for c in group_by] or [F.lit(1)]
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    offset = F.sum("_total").over(before) - F.col("_total") - less
+    return materialise(counted.select("_range", *group_by, offset.alias("_offset")))
+
+
+def _placed(rows: DataFrame, totals: DataFrame, columns: list[str], group_by: list[str], place: Column, name: str) -> DataFrame:
+    same = F.col("l._range") == F.col("t._range")
+    for c in group_by:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return rows.alias("l").join(totals.alias("t"), same).select(*[F.col(f"l.{c}") for c in columns], place.alias(name))
 
 
 def with_average_rank(df: DataFrame, group_by: list[str], value: str, weight: str, name: str) -> DataFrame:

@@ -61,9 +61,30 @@ def first_sequence(text: Column) -> Column:
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """First sequence of every file under ``path`` (one file per transcript)."""
-    whole = spark.read.text(path, wholetext=True).withColumn("transcript_id", F.input_file_name())
-    return whole.select("transcript_id", first_sequence(F.col("value")).alias("sequence"))
+    """First sequence of every file under ``path`` (one file per transcript).
+
+    Files are split at record starts, and of each file only the first record that is not
+    blank is carried on, so a file may hold any number of records. A file that does not
+    begin with a record is an inline text; one with records behind such a text keeps a
+    record marker at its end, which no cleaning accepts. Files without any text give no
+    row. A record is a row; those too long for one are read by ``long_fasta``.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(path).select(
+        F.input_file_name().alias("transcript_id"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no")).alias("_at"),
+        "value",
+    )
+    stated = F.length(stripped(F.col("value"))) > 0
+    firsts = rows.groupBy("transcript_id").agg(
+        F.min("_at").alias("_begin"),
+        F.max(F.when(stated, F.col("_at"))).alias("_end"),
+        F.min_by(F.when(stated, F.struct("_at", "value")), F.when(stated, F.col("_at"))).alias("_first"),
+    )
+    text, begins = F.col("_first.value"), F.col("_first._at") == F.col("_begin")
+    inline = begins & ~F.regexp_like(text, F.lit(r"^\s*>"))
+    more = F.when(F.col("_end") > F.col("_first._at"), F.concat(text, F.lit("\n>"))).otherwise(text)
+    sequence = F.when(inline, more).otherwise(first_sequence(F.concat(F.lit(">"), F.regexp_replace(text, r"^\s*>", ""))))
+    return firsts.filter(F.col("_first").isNotNull()).select("transcript_id", sequence.alias("sequence"))
 
 
 def read_measured(spark: SparkSession, path: str, schema: T.StructType = MEASURED) -> DataFrame:

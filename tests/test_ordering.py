@@ -30,6 +30,20 @@ def test_row_index(skewed):
     assert got.set_index("id")["row_index"].sort_index().tolist() == want.set_index("id")["row_index"].sort_index().tolist()
 
 
+def test_row_index_moves_rows_once(skewed):
+    """Rows are shuffled for the sort alone; the small table of offsets is then broadcast."""
+    df, _ = skewed
+    for keys in ([], ["g"]):
+        plan = ordering.with_row_index(df, keys, [F.col("y").desc(), F.col("id")])._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_row_index_of_an_empty_table(skewed):
+    df, _ = skewed
+    assert ordering.with_row_index(df.limit(0), ["g"], [F.col("id")]).count() == 0
+    assert ordering.with_row_index(df.limit(0), [], [F.col("id")]).count() == 0
+
+
 def test_rank_all_matches_top(skewed):
     df, _ = skewed
     order = [F.col("y").desc(), F.col("id")]

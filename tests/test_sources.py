@@ -33,6 +33,33 @@ def test_first_sequence_of_inline_text_and_files(spark, tmp_path):
     assert {r["reason"] for r in read.collect()} == {"shorter than 21 nt"}
 
 
+def test_first_sequences_of_files_with_many_records(spark, tmp_path):
+    files = {
+        "many.fa": ">a one\nACGU\nAC\n" + "".join(f">r{k}\n{'GGCC' * 500}\n" for k in range(200)),
+        "blank.fa": "\n\n>b\r\nAU\r\nGC\r\n>c\nAA\n",
+        "indented.fa": " \n  >d\nUUU",
+        "inline.txt": "ACG\nUUU\n",
+        "mixed.txt": "ACG\n>e\nUUU\n",
+        "header.fa": ">only header",
+        "empty_record.fa": ">f\n>g\nAAA\n",
+        "nothing.fa": "",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # many.fa is read in several splits
+    try:
+        read = readers.read_sequences(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r["transcript_id"].rsplit("/", 1)[1]: "".join(r["sequence"].split()) for r in read}
+    assert got == {
+        "many.fa": "ACGUAC", "blank.fa": "AUGC", "indented.fa": "UUU", "inline.txt": "ACGUUU", "mixed.txt": "ACG>",
+        "header.fa": "", "empty_record.fa": "",
+    }
+    cleaned = curation.clean_transcripts(readers.read_sequences(spark, str(tmp_path / "mixed.txt"))).collect()
+    assert [r["reason"] for r in cleaned] != [None]
+
+
 def test_measured_csv_with_padded_and_missing_columns(spark, tmp_path):
     (tmp_path / "m.csv").write_text(" sense ,antisense, efficacy\nAUG,CAU,12.5\nAUG,CAU,n/a\n")
     rows = readers.read_measured(spark, str(tmp_path / "m.csv"), readers.MEASURED_MODIFIED)
