@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from oligo_engine.catalog import inputs as I, sql as S
 from oligo_engine.catalog.registry import query
 from oligo_engine.operators import curation, features, metrics, variants
-from oligo_engine.operators.ordering import materialise, spread
+from oligo_engine.operators.ordering import Tables, materialise, spread
 from oligo_engine.plans import training
 
 
@@ -448,10 +448,12 @@ def m10_cv(spark: SparkSession, sf: str) -> DataFrame:
     """Five folds over two sources, the third scored as external set by every fold."""
     rows = _training_rows(spark, sf)
     external, inside = rows.filter(F.col("source") == "A"), rows.filter(F.col("source") != "A")
-    out = training.cross_validate(inside, "row_id", k=5, external=external, **ROUNDS)
-    beyond = out["external_per_fold"].select("fold", F.col("n").alias("external"))
-    stopped = F.col("best_iteration").between(1, ROUNDS["max_iter"])
-    return out["fits"].join(_judged(out["out_of_fold"], "fold"), "fold").join(beyond, "fold").withColumn("stopped", stopped).drop("best_iteration")
+    with Tables(spark) as tables:
+        out = training.cross_validate(inside, "row_id", k=5, external=external, **ROUNDS)
+        beyond = out["external_per_fold"].select("fold", F.col("n").alias("external"))
+        stopped = F.col("best_iteration").between(1, ROUNDS["max_iter"])
+        fits = out["fits"].join(_judged(out["out_of_fold"], "fold"), "fold").join(beyond, "fold")
+        return tables.keep(fits.withColumn("stopped", stopped).drop("best_iteration"))
 
 
 @query(
@@ -459,9 +461,11 @@ def m10_cv(spark: SparkSession, sf: str) -> DataFrame:
     S.with_(S.MEASURED, "inside AS (SELECT row_id, source AS held_out FROM measured)", _inner_sql("held_out", "inside") + " FROM inside, parts GROUP BY 1"),
 )
 def m11(spark: SparkSession, sf: str) -> DataFrame:
-    out = training.leave_one_source_out(_training_rows(spark, sf), "row_id", **ROUNDS)
-    stopped = F.col("best_iteration").between(1, ROUNDS["max_iter"])
-    return out["fits"].join(_judged(out["scored"], "held_out"), "held_out").withColumn("stopped", stopped).drop("best_iteration")
+    with Tables(spark) as tables:
+        out = training.leave_one_source_out(_training_rows(spark, sf), "row_id", **ROUNDS)
+        stopped = F.col("best_iteration").between(1, ROUNDS["max_iter"])
+        fits = out["fits"].join(_judged(out["scored"], "held_out"), "held_out")
+        return tables.keep(fits.withColumn("stopped", stopped).drop("best_iteration"))
 
 
 @query("a8_feature_importance", "SELECT 'as_seed_2F' AS feature, true AS most, (SELECT count(*) FROM region) > 0 AS sorted")

@@ -8,7 +8,7 @@ from oligo_engine.catalog import inputs as I, sql as S
 from oligo_engine.catalog.registry import query
 from oligo_engine.catalog.sequence_queries import DESIGN_CTES, _designs, scratch
 from oligo_engine.operators import metrics, penalties, variants
-from oligo_engine.operators.ordering import rank_all, spread, top_per_group
+from oligo_engine.operators.ordering import Tables, rank_all, spread, top_per_group
 from oligo_engine.operators.tiling import tile
 from oligo_engine.plans import beam, panels, ranking
 from oligo_engine.plans.scan import scan_modifications, score_designs
@@ -376,37 +376,49 @@ def q10(spark: SparkSession, sf: str) -> DataFrame:
 # --- beam search --------------------------------------------------------------
 
 
-def _beam_sql(width: int, top: int, select: str) -> str:
-    """Two rounds over the mini scan, one CTE per step of the search."""
+def _beam_sql(width: int, top: int, select: str, grid: tuple = S.MINI, seed: str | None = None) -> str:
+    """Two rounds over a scan, one CTE per step of the search.
+
+    ``seed`` makes a guide with replacements at 2 and 14 of ``antisense``; it takes the first place.
+    """
+    places, seeded = width, ""
+    if seed:
+        places = width - 1
+        seeded = f" UNION ALL SELECT parent_id, sense, {seed}, sense, antisense, 'seed', 2, 'antisense', 0 FROM parents"
     pool = 2 * width
     touched = "substr(CASE WHEN q.strand = 'sense' THEN x.s ELSE x.a END, q.pos, 1) <> substr(CASE WHEN q.strand = 'sense' THEN x.ps ELSE x.pa END, q.pos, 1)"
+    one, two = (f"concat({t}.sym, {t}.pos, {t}.strand)" for t in "xq")
+
+    def grown(strand: str, column: str) -> str:
+        return f"CASE WHEN strand = '{strand}' THEN {S.put(column, 'pos', 'sym')} ELSE {column} END AS {column}"
+
     return S.with_(
         S.PARENTS,
-        _scored(S.MINI),
+        _scored(grid),
         _base(),
         "turn AS (SELECT *, row_number() OVER (PARTITION BY parent_id, sym ORDER BY efficacy_score DESC, strand, pos) AS turn FROM scored)",
         "slots AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY turn, sym) AS slot FROM turn)",
-        f"first_beam AS (SELECT parent_id, s, a, ps, pa, sym, pos, strand, slot FROM slots WHERE slot <= {width})",
+        f"first_beam AS (SELECT parent_id, s, a, ps, pa, sym, pos, strand, slot FROM slots WHERE slot <= {places}{seeded})",
         S.penalised("first_beam", "r1"),
         f"r1n AS (SELECT *, {S.rescale('raw', 'parent_id')} AS norm_score FROM r1)",
         f"r1s AS (SELECT *, round({S.adjusted('norm_score')}, 2) AS score FROM r1n)",
         "round1 AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY score DESC, slot) AS place FROM r1s)",
         f"pool AS (SELECT parent_id, sym, pos, strand, adj_rank FROM scored WHERE adj_rank <= {pool})",
         "pairs AS (SELECT x.parent_id, x.s, x.a, x.ps, x.pa, x.sym AS bsym, x.pos AS bpos, x.place, q.sym, q.pos, q.strand, q.adj_rank, "
-        f"{touched} AS clash, least(concat(x.sym, x.pos), concat(q.sym, q.pos)) AS lo, greatest(concat(x.sym, x.pos), concat(q.sym, q.pos)) AS hi "
+        f"{touched} AS clash, least({one}, {two}) AS lo, greatest({one}, {two}) AS hi "
         "FROM round1 x JOIN pool q USING (parent_id))",
         "once AS (SELECT *, row_number() OVER (PARTITION BY parent_id, lo, hi ORDER BY place, adj_rank) AS nth FROM pairs)",
-        "grown AS (SELECT parent_id, s, " + S.put("a", "pos", "sym") + " AS a, ps, pa, concat(bsym, '+', sym) AS mod_symbol, "
+        f"grown AS (SELECT parent_id, {grown('sense', 's')}, {grown('antisense', 'a')}, ps, pa, concat(bsym, '+', sym) AS mod_symbol, "
         "concat(bpos::VARCHAR, ',', pos::VARCHAR) AS mod_positions, place, adj_rank FROM once WHERE nth = 1 AND NOT clash)",
-        "viable AS (SELECT * FROM grown WHERE NOT regexp_matches(a, '[LYE][LYE][LYE]'))",
+        "viable AS (SELECT * FROM grown WHERE NOT regexp_matches(a, '[LYE][LYE][LYE]') AND NOT regexp_matches(s, '[LYE][LYE][LYE]'))",
         S.penalised("viable", "r2"),
         f"r2n AS (SELECT *, {S.rescale('raw', 'parent_id')} AS norm_score FROM r2)",
         f"r2s AS (SELECT *, round({S.adjusted('norm_score')}, 2) AS score FROM r2n)",
         "round2 AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY score DESC, place, adj_rank) AS place2 FROM r2s)",
-        "evaluated AS (SELECT parent_id, a, sym AS mod_symbol, pos::VARCHAR AS mod_positions, score, penalty_sum, 1 AS round, place AS slot FROM round1 "
-        "UNION ALL SELECT parent_id, a, mod_symbol, mod_positions, score, penalty_sum, 2, place2 FROM round2)",
-        "unique_designs AS (SELECT *, row_number() OVER (PARTITION BY parent_id, a ORDER BY score DESC, round, slot) AS nth FROM evaluated)",
-        "final AS (SELECT parent_id, a AS antisense, mod_symbol, mod_positions, round, score AS efficacy_score, penalty_sum, "
+        "evaluated AS (SELECT parent_id, s, a, sym AS mod_symbol, pos::VARCHAR AS mod_positions, score, penalty_sum, 1 AS round, place AS slot FROM round1 "
+        "UNION ALL SELECT parent_id, s, a, mod_symbol, mod_positions, score, penalty_sum, 2, place2 FROM round2)",
+        "unique_designs AS (SELECT *, row_number() OVER (PARTITION BY parent_id, s, a ORDER BY score DESC, round, slot) AS nth FROM evaluated)",
+        "final AS (SELECT parent_id, s AS sense, a AS antisense, mod_symbol, mod_positions, round, score AS efficacy_score, penalty_sum, "
         "row_number() OVER (PARTITION BY parent_id ORDER BY score DESC, round, slot) AS rank FROM unique_designs WHERE nth = 1)",
     ) + select.format(top=top)
 
@@ -420,19 +432,44 @@ BEAM_SQL = _beam_sql(
 
 @query("q4_g9_j7_w6_w7_beam_two_rounds", BEAM_SQL)
 def q4(spark: SparkSession, sf: str) -> DataFrame:
-    found = beam.beam_search(I.parents(spark, sf), SCORER, max_mods=2, beam_width=6)
-    return beam.top_designs(found, 10).select(
-        "parent_id", "rank", "antisense", "mod_symbol",
-        F.when(F.col("mod_positions") == "", F.col("mod_position").cast("string")).otherwise(F.col("mod_positions")).alias("mod_positions"),
-        "round", "efficacy_score", "penalty_sum", "delta_score",
-    )
+    with Tables(spark) as tables:
+        found = beam.beam_search(I.parents(spark, sf), SCORER, max_mods=2, beam_width=6)
+        return tables.keep(
+            beam.top_designs(found, 10).select(
+                "parent_id", "rank", "antisense", "mod_symbol",
+                F.when(F.col("mod_positions") == "", F.col("mod_position").cast("string")).otherwise(F.col("mod_positions")).alias("mod_positions"),
+                "round", "efficacy_score", "penalty_sum", "delta_score",
+            )
+        )
+
+
+@query(
+    "q4_full_scan_beam",
+    _beam_sql(
+        20, 10,
+        "SELECT parent_id, rank::INTEGER AS rank, sense, antisense, mod_symbol, mod_positions, round::INTEGER AS round, efficacy_score, penalty_sum FROM final WHERE rank <= {top}",
+        grid=S.FULL,
+    ),
+)
+def q4_full(spark: SparkSession, sf: str) -> DataFrame:
+    """All symbols at all positions of both strands as singles, default width."""
+    with Tables(spark) as tables:
+        found = beam.beam_search(I.parents(spark, sf), SCORER, full=True)
+        positions = F.when(F.col("mod_positions") == "", F.col("mod_position").cast("string")).otherwise(F.col("mod_positions"))
+        return tables.keep(
+            beam.top_designs(found, 10).select(
+                "parent_id", "rank", "sense", "antisense", "mod_symbol", positions.alias("mod_positions"),
+                "round", "efficacy_score", "penalty_sum",
+            )
+        )
 
 
 @query("q4_w10_beam_deep")
 def q4_deep(spark: SparkSession, sf: str) -> DataFrame:
     """Five rounds with the plateau rule; checked against brute force in the tests."""
-    found = beam.beam_search(I.parents(spark, sf), SCORER, max_mods=5, beam_width=5)
-    return beam.top_designs(found, 5).select("parent_id", "rank", "antisense", "mod_symbol", "round", "efficacy_score")
+    with Tables(spark) as tables:
+        found = beam.beam_search(I.parents(spark, sf), SCORER, max_mods=5, beam_width=5)
+        return tables.keep(beam.top_designs(found, 5).select("parent_id", "rank", "antisense", "mod_symbol", "round", "efficacy_score"))
 
 
 # --- panels -------------------------------------------------------------------

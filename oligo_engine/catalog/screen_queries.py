@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from oligo_engine import constants as K
 from oligo_engine.catalog import inputs as I, sql as S
 from oligo_engine.catalog.registry import query
-from oligo_engine.catalog.scan_queries import BEAM_SQL, SCORER, _base
+from oligo_engine.catalog.scan_queries import SCORER, _base, _beam_sql
 from oligo_engine.catalog.sequence_queries import DESIGN_CTES, _designs, scratch
 from oligo_engine.functions.labels import efficacy_label
 from oligo_engine.operators import curation, kmer_index, offtarget, toxicity, variants
+from oligo_engine.operators.ordering import Tables
 from oligo_engine.operators.tiling import tile, tile_pieces
 from oligo_engine.plans import beam, screening
 from oligo_engine.plans.scan import score_designs
@@ -393,37 +394,46 @@ def p12(spark: SparkSession, sf: str) -> DataFrame:
     return folded.select("parent_id", "safety_score", "safety_status", "efficacy_score", "efficacy_label")
 
 
-_TOP = BEAM_SQL.split("SELECT parent_id, rank::INTEGER", 1)[0].rstrip()
+_SEED_GUIDE = S.put(S.put("antisense", "2", "'M'"), "14", "'F'")
+_FOUND = _beam_sql(20, 100, "", seed=_SEED_GUIDE).rstrip()
 
 
 @query(
     "q5_p13_w8_w9_seeded_beam_safety",
-    _TOP + ",\n" + ",\n".join([
+    _FOUND + ",\n" + ",\n".join([
         S.TRANSCRIPTS, S.TRANSCRIPTOME,
-        "top8 AS (SELECT final.parent_id, final.antisense AS a, parents.sense AS s, parents.antisense AS pa, rank, efficacy_score AS eff, penalty_sum, parent_score FROM final JOIN parents USING (parent_id) JOIN b USING (parent_id) WHERE rank <= 8)",
-        "v_in AS (SELECT concat(parent_id, '|', a) AS id, s AS sense, pa AS antisense, a AS amask, s AS smask, pa AS start FROM top8)",
+        "top100 AS (SELECT final.parent_id, final.antisense AS a, parents.sense AS s, parents.antisense AS pa, rank, efficacy_score AS eff, penalty_sum, parent_score FROM final JOIN parents USING (parent_id) JOIN b USING (parent_id) WHERE rank <= 100)",
+        "v_in AS (SELECT concat(parent_id, '|', a) AS id, s AS sense, pa AS antisense, a AS amask, s AS smask, pa AS start FROM top100)",
         _safety_sql("v_in"),
-        "folded AS (SELECT top8.*, safety_score, safety_status, is_safe, round(eff + 0.7e0 * penalty_sum, 2) AS raw_eff, "
-        "CASE WHEN safety_score < 100 THEN round((100e0 - safety_score) * 0.2e0, 1) ELSE 0e0 END AS extra FROM top8 JOIN safe ON safe.id = concat(parent_id, '|', a))",
+        "folded AS (SELECT top100.*, safety_score, safety_status, is_safe, round(eff + 0.7e0 * penalty_sum, 2) AS raw_eff, "
+        "CASE WHEN safety_score < 100 THEN round((100e0 - safety_score) * 0.2e0, 1) ELSE 0e0 END AS extra FROM top100 JOIN safe ON safe.id = concat(parent_id, '|', a))",
         "final2 AS (SELECT *, CASE WHEN NOT is_safe THEN 0e0 ELSE greatest(0e0, round(raw_eff - 0.7e0 * (penalty_sum + extra), 2)) END AS efficacy_score FROM folded)",
     ])
     + f"\nSELECT parent_id, a AS antisense, raw_eff AS raw_efficacy_score, efficacy_score, safety_score, safety_status, {S.efficacy_label('efficacy_score')} AS efficacy_label, "
     "(row_number() OVER (PARTITION BY parent_id ORDER BY efficacy_score DESC, rank))::INTEGER AS rank FROM final2",
 )
 def q5(spark: SparkSession, sf: str) -> DataFrame:
-    """Beam search from given singles; leading designs screened and ranked anew."""
+    """Beam search from given singles and a given design; leading designs screened and ranked anew."""
     from oligo_engine.plans.scan import scan_modifications
 
     parents = I.parents(spark, sf)
-    scan = scan_modifications(parents, SCORER, I.seed_viability(spark, sf))
-    singles = scan.select(
+    singles = scan_modifications(parents, SCORER, I.seed_viability(spark, sf)).select(
         *beam.PARENT, "sense", "antisense", "mod_symbol", "mod_position", "mod_positions", "mod_strand", "efficacy_score"
     )
-    found = beam.beam_search(parents, SCORER, max_mods=2, beam_width=6, singles=singles)
-    folded = screening.fold_safety_into_search(beam.top_designs(found, 8), I.transcriptome(spark, sf))
-    return folded.withColumn("efficacy_label", efficacy_label(F.col("efficacy_score"))).select(
-        "parent_id", "antisense", "raw_efficacy_score", "efficacy_score", "safety_score", "safety_status", "efficacy_label", "rank"
+    guide = F.overlay(F.overlay("antisense", F.lit("M"), F.lit(2), F.lit(1)), F.lit("F"), F.lit(14), F.lit(1))
+    seeds = parents.select(
+        F.col("sense").alias("parent_sense"), F.col("antisense").alias("parent_antisense"), "sense", guide.alias("antisense"),
+        F.lit("M+F").alias("mod_symbol"), F.lit(2).alias("mod_position"), F.lit("2,14").alias("mod_positions"),
+        F.lit("antisense+antisense").alias("mod_strand"),
     )
+    with Tables(spark) as tables:
+        found = beam.beam_search(parents, SCORER, singles=singles, seed_designs=seeds)
+        folded = screening.fold_safety_into_search(beam.top_designs(found), I.transcriptome(spark, sf))
+        return tables.keep(
+            folded.withColumn("efficacy_label", efficacy_label(F.col("efficacy_score"))).select(
+                "parent_id", "antisense", "raw_efficacy_score", "efficacy_score", "safety_score", "safety_status", "efficacy_label", "rank"
+            )
+        )
 
 
 @query(

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar, Token
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -21,15 +23,55 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    root = tempfile.mkdtemp(prefix="oligo-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _local_root(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_root(application: str) -> str:
+    """One folder for each application; the setting itself cannot be changed at run time."""
+    return tempfile.mkdtemp(prefix="oligo-checkpoint-")
+
+
+_OPEN: ContextVar[Tables | None] = ContextVar("tables", default=None)
+
+
+class Tables:
+    """Owns the tables that are materialised while it is open and deletes them at its end,
+    after a failure too.
+
+    Results read from those tables must be stored before the end, by the caller or with
+    ``keep``.  Blocks nest; threads take part if they run in a copy of the context.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        self._token = _OPEN.set(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table that outlives this block; the block around it owns it, if there is one."""
+        around = self._token.old_value
+        return _written(df, None if around is Token.MISSING else around)
+
+    def __exit__(self, *_) -> None:
+        _OPEN.reset(self._token)
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage and
-    survives the loss of executors."""
+    survives the loss of executors.  An open ``Tables`` deletes it in the end."""
+    return _written(df, _OPEN.get())
+
+
+def _written(df: DataFrame, owner: Tables | None) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/oligo/{uuid.uuid4().hex}"
+    if owner is not None:
+        owner.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from test_penalties import naive
 from test_sequences import palindrome, revcomp
 
 from oligo_engine import constants as K
+from oligo_engine.operators import ordering
 from oligo_engine.plans import beam
 from oligo_engine.plans.scan import scan_modifications
 from oligo_engine.plans.scoring import LinearScorer
@@ -123,6 +124,15 @@ def test_output_is_unique_and_viable(parents):
     assert found.filter(F.col("sense").rlike("[LYE]{3}") | F.col("antisense").rlike("[LYE]{3}")).count() == 0
 
 
+def test_no_table_is_left_after_a_search(spark, parents, tmp_path, monkeypatch):
+    monkeypatch.setattr(ordering, "checkpoint_root", lambda _: str(tmp_path))
+    with ordering.Tables(spark):
+        found = beam.beam_search(parents, LinearScorer(), 3, 5)
+        beam.top_designs(found, 10).write.parquet(str(tmp_path / "result"))
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 10 * len(PARENTS)
+    assert not list((tmp_path / "oligo").iterdir())
+
+
 def test_seed_design_takes_the_first_place(spark, parents):
     sense = PARENTS[1][1]
     guide = revcomp(sense)

@@ -1,6 +1,8 @@
 """Order-dependent operators against pandas, with one group holding most rows."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 
 import pandas as pd
 import pytest
@@ -44,6 +46,31 @@ def test_row_index_of_an_empty_table(skewed):
     assert ordering.with_row_index(df.limit(0), [], [F.col("id")]).count() == 0
 
 
+def test_tables_go_at_the_end_of_their_block(spark, tmp_path, monkeypatch):
+    """Also those of threads, of nested blocks and of a block that fails."""
+    monkeypatch.setattr(ordering, "checkpoint_root", lambda _: str(tmp_path))
+    folder = tmp_path / "oligo"
+    with ordering.Tables(spark) as outer:
+        ordering.materialise(spark.range(3))
+        with ordering.Tables(spark) as inner:
+            first = ordering.materialise(spark.range(5))
+            context = copy_context()
+            with ThreadPoolExecutor(1) as pool:
+                pool.submit(context.run, ordering.materialise, spark.range(7)).result()
+            kept = inner.keep(first.selectExpr("sum(id) AS total"))
+            assert len(list(folder.iterdir())) == 4
+        assert len(list(folder.iterdir())) == 2 and kept.collect()[0]["total"] == 10
+        last = outer.keep(kept)
+    assert len(list(folder.iterdir())) == 1 and last.collect()[0]["total"] == 10
+    with pytest.raises(ZeroDivisionError):
+        with ordering.Tables(spark):
+            ordering.materialise(spark.range(3))
+            raise ZeroDivisionError
+    assert len(list(folder.iterdir())) == 1
+    ordering.materialise(spark.range(3))  # no block is open: left to its caller
+    assert len(list(folder.iterdir())) == 2
+
+
 def test_rank_all_matches_top(skewed):
     df, _ = skewed
     order = [F.col("y").desc(), F.col("id")]
