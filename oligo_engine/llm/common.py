@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="corpus-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+@cache
+def _local_root(application: str) -> str:
+    """One folder for each application; the setting itself cannot be changed at run time."""
+    return tempfile.mkdtemp(prefix="corpus-checkpoint-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Written once to the shared folder; Spark deletes it once no plan refers to it
     (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
