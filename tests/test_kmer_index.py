@@ -136,3 +136,49 @@ def test_the_transcriptome_is_read_once(spark, texts):
     candidates = spark.createDataFrame([("A" * 21,)], "antisense string")
     assert offtarget.screen(candidates, index=index).count() == 1 and index.seeds.count() > 0
     assert seen.value == len(texts)
+
+
+@pytest.mark.parametrize("k", [6, 12, 13, 14, 15, 16, 17, 19, 21])
+def test_bits_of_the_index_tell_every_guide(spark, k):
+    """Words and blocks of bits against plain search: windows at every offset, near misses, other letters."""
+    rng = random.Random(k)
+    texts = ["".join(rng.choices("ACGU", k=n)) for n in (15, 21, 40, 200, 900)] + ["A" * 30, "ACGUN" * 12 + "CCGGAAUUCCGGAAUUCCGG"]
+    sites = []
+    for t in texts:
+        for _ in range(25):
+            n = min(rng.choice([k - 1, k, k + 1, 21]), len(t), 21)
+            at, lead = rng.randrange(len(t) - n + 1), rng.randrange(22 - n)
+            sites.append("".join(rng.choices("ACGU", k=lead)) + t[at : at + n] + "".join(rng.choices("ACGU", k=21 - n - lead)))
+    guides = sorted({revcomp(s) for s in sites} | {"ACG", "", "A" * 25, revcomp(texts[3][:21]).lower()})
+    index = kmer_index.build_index(spark.createDataFrame(list(enumerate(texts)), "record_id int, sequence string"), k)
+    candidates = spark.createDataFrame([(i, g) for i, g in enumerate(guides * 2)] + [(-1, None)], "id int, antisense string")
+    want = {g for g in guides if any(revcomp(g)[i : i + k] in t for i in range(len(g) - k + 1) for t in texts)}
+    assert sorted(r[0] for r in kmer_index.critical_guides(candidates, index).collect()) == sorted(want)
+    rows = kmer_index.with_match(candidates, index).collect()
+    assert len(rows) == len(guides) * 2 + 1
+    assert all(r["has_critical_match"] == (r["antisense"] in want) for r in rows)
+
+
+@pytest.mark.parametrize("k", [11, 15])
+def test_a_guide_moves_once_and_not_its_windows(spark, texts, k):
+    """Rows shuffled for the guides are no more than the guides (22 - k windows of each before)."""
+    records = spark.createDataFrame(list(enumerate(texts)), "record_id int, sequence string")
+    index = kmer_index.build_index(records, k)
+    rng = random.Random(3)
+    candidates = spark.createDataFrame([("".join(rng.choices("ACGU", k=21)),) for _ in range(500)], "antisense string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = kmer_index.critical_guides(candidates, index)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = plan.split("\n")
+    guides = next(i for i, line in enumerate(lines) if "antisense" in line and "Scan" in line)
+    depth = len(lines[guides]) - len(lines[guides].lstrip(" :+-"))
+    above = []
+    for line in reversed(lines[:guides]):
+        if len(line) - len(line.lstrip(" :+-")) < depth:
+            above.append(line)
+            depth = len(line) - len(line.lstrip(" :+-"))
+    assert not any("Generate" in line for line in above)
+    assert sum("Exchange hashpartitioning" in line for line in above) == 1
