@@ -11,7 +11,7 @@ from oligo_engine.catalog.scan_queries import SCORER, _base, _beam_sql
 from oligo_engine.catalog.sequence_queries import DESIGN_CTES, _designs, scratch
 from oligo_engine.functions.labels import efficacy_label
 from oligo_engine.operators import curation, kmer_index, offtarget, toxicity, variants
-from oligo_engine.operators.ordering import Tables
+from oligo_engine.operators.ordering import Tables, spread
 from oligo_engine.operators.tiling import tile, tile_pieces
 from oligo_engine.plans import beam, screening
 from oligo_engine.plans.scan import score_designs
@@ -192,7 +192,7 @@ _LONG = (
 def _long_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts, two nucleotides a byte, as one record for each source: millions of
     nucleotides in lines, written sorted and read as one text."""
-    docs = I.table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("record"), "doc_id", "text")
+    docs = spread(I.table(spark, sf, "documents").select(F.coalesce("source", F.lit("")).alias("record"), "doc_id", "text"))
     bases = F.translate(F.hex("text"), I.HEX.upper(), I.BASES)
     lines = docs.select("record", "doc_id", F.posexplode(F.regexp_extract_all(bases, F.lit(f".{{1,{LINE}}}"), F.lit(0))).alias("no", "line"))
     names = docs.select("record", F.lit(None).cast("bigint").alias("doc_id"), F.lit(-1).alias("no"), F.concat(F.lit(">"), "record").alias("line")).distinct()

@@ -13,6 +13,8 @@ from oligo_engine.operators.ordering import spread
 PIECE = 2048
 # A piece goes on for so many characters, which serves windows of HALO + 1.
 HALO = STRAND_LENGTH - 1
+# Windows of a piece are cut from parts of so many starts, which shortens that walk again.
+PART = 64
 
 
 def pieces(df: DataFrame, sequence: str, k: int) -> DataFrame:
@@ -74,12 +76,20 @@ def tile(transcripts: DataFrame) -> DataFrame:
 
 def tile_pieces(cut: DataFrame, key: str = "record_no") -> DataFrame:
     """All 21-mer candidates of records that come in pieces; position is a bigint."""
+    n = F.least(F.length("piece") - HALO, F.lit(PIECE))
+    firsts = F.when(n >= 1, F.sequence(F.lit(1), n, F.lit(PART)))
+    parts = spread(cut.select(key, "start", "piece")).select(key, "start", "piece", n.alias("_n"), F.explode(firsts).alias("_from")).select(
+        key,
+        (F.col("start") + F.col("_from") - 2).alias("_start"),
+        F.substr(F.col("piece"), F.col("_from"), F.lit(PART + HALO)).alias("_part"),
+        F.least(F.lit(PART), F.col("_n") - F.col("_from") + 1).alias("_n"),
+    )
     return (
-        cut.select(key, "start", "piece", F.explode(starts(F.col("piece"), STRAND_LENGTH)).alias("_at"))
+        parts.select(key, "_start", "_part", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_at"))
         .select(
             key,
-            (F.col("start") + F.col("_at") - 1).alias("position"),
-            F.substr(F.col("piece"), F.col("_at"), F.lit(STRAND_LENGTH)).alias("sense"),
+            (F.col("_start") + F.col("_at")).alias("position"),
+            F.substr(F.col("_part"), F.col("_at"), F.lit(STRAND_LENGTH)).alias("sense"),
         )
         .withColumn("antisense", reverse_complement(F.col("sense")))
     )
