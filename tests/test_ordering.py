@@ -139,3 +139,13 @@ def test_ndcg_with_tied_predictions(spark):
     dcg = 2 / log2(2) + 2 / log2(3) + 2 / log2(4)
     ideal = 3 / log2(2) + 2 / log2(3) + 1 / log2(4)
     assert metrics.ndcg(df, "y", "p").collect()[0]["ndcg"] == pytest.approx(dcg / ideal)
+
+
+def test_split_does_not_shuffle_by_stratum(spark):
+    """A stratum may hold a third of all rows, so none is gathered in one task."""
+    from oligo_engine.operators.curation import stratified_split
+
+    rows = spark.range(600).select(F.col("id").cast("string").alias("row_id"), (F.col("id") % 3).cast("string").alias("source"))
+    split = stratified_split(rows, "row_id")
+    assert "hashpartitioning(source" not in split._jdf.queryExecution().executedPlan().toString()
+    assert split.filter("split = 'test'").count() == 90 and split.count() == 600
