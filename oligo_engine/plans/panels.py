@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from oligo_engine.functions.labels import panel_label
+from oligo_engine.operators.ordering import spread
 from oligo_engine.operators.penalties import with_adjusted
 from oligo_engine.operators.variants import as_variants, clinical_pattern
 from oligo_engine.plans.scoring import Scorer
@@ -43,11 +44,11 @@ CLINICAL_LIMITS = {"nuclease": 5.0, "immuno": 6.0, "risc": 20.0, "thermo": 8.0,
 
 
 def mask_panel(parents: DataFrame, scorer: Scorer, masks: list[tuple[str, str, str]] = PANEL_MASKS) -> DataFrame:
-    """Score every mask over every parent duplex."""
+    """Score every mask over every parent duplex; parents, which come in few splits, are dealt out first."""
     cells = F.array(
         *[F.struct(F.lit(n).alias("design"), F.lit(s).alias("ms"), F.lit(a).alias("ma")) for n, s, a in masks]
     )
-    rows = parents.select(
+    rows = spread(parents).select(
         "parent_id",
         F.col("sense").alias("parent_sense"),
         F.col("antisense").alias("parent_antisense"),
